@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.llm import simhash
+from siltstone.llm import rans, simhash
 from siltstone.llm.common import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +27,10 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's 3-word-shingle fingerprint and the group it falls in."""
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), words_in_shingle=3, distance=3)
+
+
+@query
+def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back: each document's place, length and checksum."""
+    back = rans.round_trip(table(spark, sf_dir, "documents"), end_id=2)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

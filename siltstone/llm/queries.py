@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import rans, simhash
+from siltstone.llm import langid, rans, simhash
 from siltstone.llm.common import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,9 @@ def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written and read back: each document's place, length and checksum."""
     back = rans.round_trip(table(spark, sf_dir, "documents"), end_id=2)
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those not held out."""
+    return langid.identify(table(spark, sf_dir, "documents"))

@@ -221,7 +221,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return predict(docs, model, ["doc_id"]).select("doc_id", held_out().alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """Documents whose language is told with a score of ``least`` at least, with all their columns."""
     model = fit(docs.where(~held_out()), sample)
     told = predict(docs, model, docs.columns)

@@ -280,7 +280,7 @@ def pair_links(pairs: DataFrame, edits: int) -> DataFrame:
 
 def split_lines(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, line_no, h, words, line)``: a row for each line, from 0; a null text has none."""
-    lines = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\\n", -1)).alias("line_no", "line"))
+    lines = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode_outer(F.split("text", "\\n", -1)).alias("line_no", "line"))
     spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
     return lines.select("doc_id", "line_no", F.xxhash64("line").alias("h"), (spaces + 1).alias("words"), "line")
 

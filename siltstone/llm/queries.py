@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontam, langid, linededup, rans, simhash, toxicity
+from siltstone.llm import decontam, langid, linededup, packing, rans, simhash, toxicity
 from siltstone.llm.common import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document in which a benchmark item's template stands, with the item and how much of it."""
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 2048 tokens that keep the sources' shares: a row for each piece."""
+    return packing.pack(table(spark, sf_dir, "documents"), end_id=1, with_ids=False)

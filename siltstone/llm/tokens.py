@@ -139,15 +139,15 @@ def encoder_of(shared) -> Encoder:
 
 
 def tokenized(docs: DataFrame, columns: list[str], end_id: int, path: str | None = None, group: str | None = None) -> DataFrame:
-    """``columns`` and ``text`` to ``columns``, part, start, n_tokens, ids (32-bit little-endian), in the order of the rows.
+    """``columns`` and ``text`` to ``columns``, uid, part, start, n_tokens, ids (32-bit little-endian), in the order of the rows.
 
-    ``part`` is the task's number and ``start`` the tokens before the row
+    ``uid`` tells rows apart, ``part`` is the task's number and ``start`` the tokens before the row
     in its task, or in its task and ``group`` where one is named.
     """
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(tokenizer_json(path))
     types = dict(docs.dtypes)
-    ddl = "".join(f"`{c}` {types[c]}, " for c in columns) + "part int, start long, n_tokens long, ids binary"
+    ddl = "".join(f"`{c}` {types[c]}, " for c in columns) + "uid long, part int, start long, n_tokens long, ids binary"
     at = columns.index(group) if group else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,6 +156,7 @@ def tokenized(docs: DataFrame, columns: list[str], end_id: int, path: str | None
         part = TaskContext.get().partitionId()
         encoder = encoder_of(shared)
         before: dict = {}
+        row = part << 40
         for batch in batches:
             ids = encoder.encode(batch.column(len(columns)).to_pylist(), end_id)
             keys = batch.column(at).to_pylist() if at is not None else [None] * batch.num_rows
@@ -164,9 +165,11 @@ def tokenized(docs: DataFrame, columns: list[str], end_id: int, path: str | None
                 starts.append(before.get(key, 0))
                 before[key] = starts[-1] + len(x) // 4
             n = pa.array([len(x) // 4 for x in ids], pa.int64())
+            uid = pa.array(range(row, row + len(ids)), pa.int64())
+            row += len(ids)
             yield pa.record_batch(
-                [*batch.columns[: len(columns)], pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), n, pa.array(ids, pa.binary())],
-                names=[*columns, "part", "start", "n_tokens", "ids"],
+                [*batch.columns[: len(columns)], uid, pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), n, pa.array(ids, pa.binary())],
+                names=[*columns, "uid", "part", "start", "n_tokens", "ids"],
             )
 
     return docs.select(*columns, "text").mapInArrow(run, ddl)

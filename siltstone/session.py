@@ -65,7 +65,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the workspace and read it back: its lineage ends there."""
     spark = df.sparkSession
     path = table_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontam, langid, linededup, packing, rans, simhash, toxicity
+from siltstone.llm import decontam, langid, linededup, packing, rans, simhash, toxicity, voronoi
 from siltstone.llm.common import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,25 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of 2048 tokens that keep the sources' shares: a row for each piece."""
     return packing.pack(table(spark, sf_dir, "documents"), end_id=1, with_ids=False)
+
+
+@query
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of every 50th vector against all others."""
+    return voronoi.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+ORACLES["op3_exact_top_k"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontam, langid, linededup, packing, rans, simhash, toxicity, voronoi
+from siltstone.llm import chat, decontam, langid, linededup, packing, rans, simhash, toxicity, voronoi
 from siltstone.llm.common import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,30 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations that are no prefix of another, rendered."""
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op8_chat_formatting"] = r"""
+WITH t AS (
+    SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), p AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM t
+), c AS (
+    SELECT conv_id, pos, count(*) OVER (PARTITION BY conv_id) AS n,
+           md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY pos)) AS h
+    FROM p
+), e AS (
+    SELECT n, h, min(conv_id) AS conv_id, count(*) AS copies FROM c WHERE pos = n GROUP BY n, h
+), k AS (
+    SELECT conv_id, n, copies FROM e WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.pos = e.n AND c.h = e.h AND c.n > e.n)
+)
+SELECT p.conv_id, (p.pos - 1) // 256 AS part, max(k.n) AS turns, max(k.copies) AS copies,
+       string_agg('<|' || replace(replace(role, '<|', '< |'), '|>', '| >') || '|>' || chr(10)
+                  || replace(replace(text, '<|', '< |'), '|>', '| >') || chr(10) || '<|end|>' || chr(10), '' ORDER BY pos) AS rendered
+FROM p JOIN k USING (conv_id) GROUP BY 1, 2
+"""

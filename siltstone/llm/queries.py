@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, decontam, langid, linededup, packing, rans, simhash, toxicity, voronoi
+from siltstone.llm import chat, decontam, langid, linededup, packing, rans, secrets, simhash, toxicity, voronoi
 from siltstone.llm.common import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,10 @@ SELECT p.conv_id, (p.pos - 1) // 256 AS part, max(k.n) AS turns, max(k.copies) A
                   || replace(replace(text, '<|', '< |'), '|>', '| >') || chr(10) || '<|end|>' || chr(10), '' ORDER BY pos) AS rendered
 FROM p JOIN k USING (conv_id) GROUP BY 1, 2
 """
+
+
+@query
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret of every document and how likely it is one; the candidate itself only as a digest."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("digest", F.sha2("candidate", 256)).drop("candidate")

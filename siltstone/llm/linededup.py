@@ -31,7 +31,7 @@ EDITS, LEAST_WORDS = 2, 10
 LEAST_LEFT = 0.2
 #: Lines of a key up to which all pairs are listed; lines of a chunk beyond that.
 FEW, CHUNK = 32, 64
-#: One line in so many is looked at for heavy keys; entries of a task's set of lines met.
+#: The lines of one document in so many are looked at for heavy keys; entries of a task's set of lines met.
 SAMPLED, MET = 64, 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -68,17 +68,15 @@ def keys_of(lines: list[str], edits: int = EDITS) -> tuple[np.ndarray, np.ndarra
     inverse = np.cumprod(np.full(top + 1, _INVERSE)) * _BASE
     at = np.arange(len(code)) - np.repeat(starts, lengths)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(code + np.uint64(1)) * power[at])])
-    owner, first, last, salt = [], [], [], []
-    by_length = {n: windows(n, edits) for n in set(lengths.tolist())}
-    for k, (n, s) in enumerate(zip(lengths.tolist(), starts.tolist(), strict=True)):
-        for segment, indexed, i, j in by_length[n]:
-            owner.append(k)
-            first.append(i)
-            last.append(s + j)
-            salt.append(indexed * 64 + segment)
-    owner_a, first_a, last_a = np.array(owner, np.int64), np.array(first, np.int64), np.array(last, np.int64)
-    h = (sums[last_a] - sums[starts[owner_a] + first_a]) * inverse[first_a]
-    return owner_a, _mixed(_mixed(h) + np.array(salt, np.uint64) * _BASE).view(np.int64)
+    by_length = {n: np.array(windows(n, edits), np.int64).reshape(-1, 4).T for n in set(lengths.tolist())}
+    spans = [by_length[n] for n in lengths.tolist()]
+    sizes = np.fromiter((x.shape[1] for x in spans), np.int64, len(spans))
+    segment, indexed, first, last = np.concatenate(spans, axis=1) if spans else np.zeros((4, 0), np.int64)
+    owner = np.repeat(np.arange(len(lines)), sizes)
+    begin = np.repeat(starts, sizes)
+    salt = (indexed * 64 + segment).astype(np.uint64)
+    h = (sums[begin + last] - sums[begin + first]) * inverse[first]
+    return owner, _mixed(_mixed(h) + salt * _BASE).view(np.int64)
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -163,8 +161,7 @@ def line_keys(lines: DataFrame, edits: int) -> DataFrame:
                     rows.append((h, line))
             if rows:
                 owner, keys = keys_of([line for _, line in rows], edits)
-                both = np.unique(np.stack([keys, np.array([h for h, _ in rows], np.int64)[owner]]), axis=1)
-                yield pa.record_batch([pa.array(both[0]), pa.array(both[1])], schema=schema)
+                yield pa.record_batch([pa.array(keys), pa.array(np.array([h for h, _ in rows], np.int64)[owner])], schema=schema)
 
     return lines.select("h", "line").mapInArrow(run, "key long, h long")
 
@@ -239,19 +236,21 @@ def cell_links(cells: DataFrame, edits: int) -> DataFrame:
     """``cells(key, lo, hi, h, line)`` to ``(a, b)``: a spanning forest of each cell's links."""
 
     def forest(cell: list[tuple[int, str]]) -> Iterator[tuple[int, int]]:
-        left = list(dict(cell).items())
+        hs, lines = zip(*dict(cell).items(), strict=True) if cell else ((), ())
+        counts = np.stack([np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") & 63, minlength=64) for x in lines]) if lines else None
+        left = np.arange(len(lines))
         while len(left) > 1:
-            queue, left = [left[0]], left[1:]
-            while queue and left:
-                h, line = queue.pop()
-                rest = []
-                for other in left:
-                    if within(line, other[1], edits):
-                        queue.append(other)
-                        yield h, other[0]
-                    else:
-                        rest.append(other)
-                left = rest
+            queue, left = [int(left[0])], left[1:]
+            while queue and len(left):
+                k = queue.pop()
+                # an edit changes at most two counts by one
+                near = left[np.abs(counts[left] - counts[k]).sum(axis=1) <= 2 * edits]
+                found = [j for j in near.tolist() if within(lines[k], lines[j], edits)]
+                if found:
+                    left = np.setdiff1d(left, found, assume_unique=True)
+                    queue += found
+                    for j in found:
+                        yield hs[k], hs[j]
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
         at, cell = None, []
@@ -294,7 +293,8 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least_words: int = LEAST_W
     lines = written(split_lines(docs).select("doc_id", "line_no", "h", "words"), "lines")
     texts = split_lines(docs).where(F.col("words") >= least_words).select("h", "line")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sample = line_keys(texts.where(F.pmod("h", F.lit(SAMPLED)) == 0), edits).distinct().groupBy("key").count()
+    some = split_lines(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0)).where(F.col("words") >= least_words)
+    sample = line_keys(some.select("h", "line"), edits).distinct().groupBy("key").count()
     sample = written(sample.where("count > 1"), "sampled")
     rows = lines.where(F.col("words") >= least_words).count() * (3 * edits + 1 + edits * edits)
     # a key on this list holds at least a quarter of a partition's rows, so there are at most four for each partition

@@ -77,20 +77,17 @@ def sqrt_quota(t: Tables) -> DataFrame:
 
 
 def balanced(counts: dict[str, int], target: int) -> dict[str, int]:
-    """Equal shares capped by the counts, round after round; a round's remainder goes one each to the first names, full ones included."""
+    """Equal shares capped by the counts, round after round.
+
+    A round's remainder goes one each to the first names that are not
+    full, also where the cap then takes it back.
+    """
     quota = dict.fromkeys(sorted(counts), 0)
-    left = min(target, sum(counts.values()))
-    while left > 0:
-        open_ = [k for k in quota if quota[k] < counts[k]]
-        each = left // len(open_)
-        if not each:
-            for k in open_[:left]:
-                quota[k] += 1
-            break
-        for k in open_:
-            take = min(each, counts[k] - quota[k])
-            quota[k] += take
-            left -= take
+    while (left := min(target, sum(counts.values())) - sum(quota.values())) > 0:
+        unfilled = [k for k in quota if quota[k] < counts[k]]
+        each, spare = divmod(left, len(unfilled))
+        for place, k in enumerate(unfilled):
+            quota[k] = min(counts[k], quota[k] + each + (place < spare))
     return quota
 
 

@@ -318,16 +318,22 @@ def offset_bounds(t: Tables) -> DataFrame:
     return ends.crossJoin(F.broadcast(store)).select((F.col("last") <= F.col("store")).alias("inside"), "negative")
 
 
-@query("""
-WITH t AS (SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_returnflag = 'N' THEN 'O' WHEN l_returnflag = coalesce(lag(l_returnflag) OVER w, '') THEN 'I' ELSE 'B' END AS tag FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
-s AS (SELECT *, sum((tag = 'B')::INT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS span FROM t)
-SELECT l_orderkey, span::BIGINT AS span, min(l_linenumber) AS first, max(l_linenumber) AS last, min(l_returnflag) AS kind FROM s WHERE tag <> 'O' GROUP BY 1, 2
+#: Lines of an order in a total order; line numbers repeat.
+LINES = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_shipdate"]
+
+
+@query(f"""
+WITH n AS (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINES)}) AS k FROM lineitem),
+t AS (SELECT *, CASE WHEN l_returnflag = 'N' THEN 'O' WHEN l_returnflag = coalesce(lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY k), '') THEN 'I' ELSE 'B' END AS tag FROM n),
+s AS (SELECT *, sum((tag = 'B')::INT) OVER (PARTITION BY l_orderkey ORDER BY k) AS span FROM t)
+SELECT l_orderkey, span::BIGINT AS span, min(k) AS first, max(k) AS last, min(l_returnflag) AS kind FROM s WHERE tag <> 'O' GROUP BY 1, 2
 """)
 def bio_spans(t: Tables) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    n = t.lineitem.select("l_orderkey", "l_returnflag", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINES)).alias("k"))
+    w = Window.partitionBy("l_orderkey").orderBy("k")
     tag = F.when(F.col("l_returnflag") == "N", "O").when(F.col("l_returnflag") == F.coalesce(F.lag("l_returnflag").over(w), F.lit("")), "I").otherwise("B")
-    s = R.islands(t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag").withColumn("tag", tag), ["l_orderkey"], ["l_linenumber"], F.col("tag") == "B", "span")
-    return s.where("tag <> 'O'").groupBy("l_orderkey", "span").agg(F.min("l_linenumber").alias("first"), F.max("l_linenumber").alias("last"), F.min("l_returnflag").alias("kind"))
+    s = R.islands(n.withColumn("tag", tag), ["l_orderkey"], ["k"], F.col("tag") == "B", "span")
+    return s.where("tag <> 'O'").groupBy("l_orderkey", "span").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.min("l_returnflag").alias("kind"))
 
 
 @query("""

@@ -16,13 +16,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.llm.common import ready
-from siltstone.llm.tokens import tokenized
+from siltstone.llm.tokens import id_type, tokenized
 from siltstone.session import written
 
 #: Tokens of a window, and of a quantum, which divides it.
@@ -128,12 +129,14 @@ def pack(
     types = [("doc_id", "long"), ("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long"), *([("ids", "binary")] if with_ids else [])]
     piece = pa.schema([(n, pa.binary() if t == "binary" else pa.int64()) for n, t in types])
     full = total // window
+    kind = id_type(tokenizer, end_id)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crc = zlib.crc32
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, n, raw, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, n, ids, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = np.frombuffer(ids, kind).astype("<u4").tobytes()
                 for s in found:
                     start, at = s["start"], s["at"]
                     end = at + s["length"]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import ready
-from siltstone.llm.tokens import tokenized
+from siltstone.llm.tokens import Encoder, id_type, tokenized, tokenizer_json
 from siltstone.session import table_path, written
 
 MAGIC = b"STRA"
@@ -152,7 +152,7 @@ def unpack_block(coder: Coder, block: bytes) -> tuple[int, int, list[int | None]
     return part, start, [None if z else int(d) for d, z in zip(ids, null, strict=True)], lengths, tokens
 
 
-def token_counts(ids: DataFrame, size: int) -> np.ndarray:
+def token_counts(ids: DataFrame, size: int, kind: str = "<u4") -> np.ndarray:
     """How often each of ``size`` ids occurs in all rows; a task sends at most ``size`` sums."""
     schema = pa.schema([("id", pa.int32()), ("n", pa.int64())])
 
@@ -160,7 +160,7 @@ def token_counts(ids: DataFrame, size: int) -> np.ndarray:
         sums = np.zeros(size, np.int64)
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                a = np.frombuffer(x, "<u4")
+                a = np.frombuffer(x, kind)
                 if len(a) > size // 8:
                     sums += np.bincount(a, minlength=size)
                 else:
@@ -188,10 +188,9 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 2, tokenizer:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     ids = written(tokenized(ordered, ["doc_id"], end_id, tokenizer), "ids")
-    from siltstone.llm.tokens import Encoder, tokenizer_json
-
     size = max(Encoder(tokenizer_json(tokenizer)).size, end_id + 1)
-    freq = scaled(token_counts(ids, size))
+    kind = id_type(tokenizer, end_id)
+    freq = scaled(token_counts(ids, size, kind))
     spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id int, freq long").coalesce(1).write.parquet(f"{folder}/frequencies")
     totals = ids.groupBy("part").agg(F.max(F.col("start") + F.col("n_tokens")).alias("n")).toPandas().sort_values("part")  # a row for each part
     base = dict(zip(totals["part"].tolist(), (totals["n"].cumsum() - totals["n"]).tolist(), strict=True))
@@ -206,7 +205,7 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 2, tokenizer:
         def out() -> pa.RecordBatch:
             part, start = rows[0][1], rows[0][2]
             lengths = np.array([r[3] for r in rows], np.int64)
-            tokens = np.frombuffer(b"".join(r[4] for r in rows), "<u4")
+            tokens = np.frombuffer(b"".join(r[4] for r in rows), kind).astype("<u4")
             first = base[part] + start
             block = pack_block(coder, part & 0xFFFF, first, [r[0] for r in rows], lengths, tokens)
             batch = pa.record_batch([pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([len(rows)], pa.int32()), pa.array([block], pa.binary())], schema=schema)

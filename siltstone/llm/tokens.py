@@ -98,8 +98,9 @@ class Encoder:
 
     def _word(self, word: str, space: str = "") -> bytes:
         letters = word.rstrip(_MARKS)
-        if letters.isalpha():  # one part, or two with the marks after it
-            return self.parts[space + letters] + self.parts[word[len(letters) :]] if len(letters) < len(word) else self.parts[space + letters]
+        if letters.isalpha():  # one part, or two with the marks after it; long words are seldom met again with other marks
+            first = self.parts[space + letters] if len(letters) < 10 else self._part(space + letters)
+            return first + self.parts[word[len(letters) :]] if len(letters) < len(word) else first
         pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(space + word)
         return b"".join([self._ids(mapped) for mapped, _ in pieces])
 
@@ -138,8 +139,13 @@ def encoder_of(shared) -> Encoder:
     return _encoders[key]
 
 
+def id_type(path: str | None = None, end_id: int = 0) -> str:
+    """The narrowest type that holds all ids: rows of ids are moved and stored in it."""
+    return "<u2" if max(Encoder(tokenizer_json(path)).size, end_id + 1) <= 1 << 16 else "<u4"
+
+
 def tokenized(docs: DataFrame, columns: list[str], end_id: int, path: str | None = None, group: str | None = None) -> DataFrame:
-    """``columns`` and ``text`` to ``columns``, uid, part, start, n_tokens, ids (32-bit little-endian), in the order of the rows.
+    """``columns`` and ``text`` to ``columns``, uid, part, start, n_tokens, ids (in ``id_type``), in the order of the rows.
 
     ``uid`` tells rows apart, ``part`` is the task's number and ``start`` the tokens before the row
     in its task, or in its task and ``group`` where one is named.
@@ -149,6 +155,7 @@ def tokenized(docs: DataFrame, columns: list[str], end_id: int, path: str | None
     types = dict(docs.dtypes)
     ddl = "".join(f"`{c}` {types[c]}, " for c in columns) + "uid long, part int, start long, n_tokens long, ids binary"
     at = columns.index(group) if group else None
+    kind = id_type(path, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -165,6 +172,7 @@ def tokenized(docs: DataFrame, columns: list[str], end_id: int, path: str | None
                 starts.append(before.get(key, 0))
                 before[key] = starts[-1] + len(x) // 4
             n = pa.array([len(x) // 4 for x in ids], pa.int64())
+            ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in ids]
             uid = pa.array(range(row, row + len(ids)), pa.int64())
             row += len(ids)
             yield pa.record_batch(

@@ -18,15 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import batches_of, ready, spread
 from siltstone.llm.components import components
 from siltstone.session import written
 
-#: Edits that near-equal lines may differ by; words below which a line is left alone.
-EDITS, LEAST_WORDS = 2, 10
+#: Edits that near-equal lines may differ by; a line of fewer words and fewer characters than these joins equal lines alone.
+EDITS, LEAST_WORDS, LEAST_CHARS = 2, 10, 40
+#: What a line joins: nothing if it is blank, equal lines, or near-equal ones too.
+BLANK, EQUAL, NEAR = 0, 1, 2
 #: Share of a document's characters below which what is left of it goes.
 LEAST_LEFT = 0.2
 #: Lines of a key up to which all pairs are listed; lines of a chunk beyond that.
@@ -279,24 +281,33 @@ def pair_links(pairs: DataFrame, edits: int) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def split_lines(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, line_no, h, words, line)``: a row for each line, from 0; a null text has none."""
+def has_text(column: str) -> Column:
+    """Whether there is anything but white space."""
+    return F.col(column).rlike(r"[^\s\p{Z}]")
+
+
+def split_lines(docs: DataFrame, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """``docs(doc_id, text)`` to ``(doc_id, line_no, h, kind, line)``: a row for each line, from 0; a null text has none."""
     lines = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode_outer(F.split("text", "\\n", -1)).alias("line_no", "line"))
     spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
-    return lines.select("doc_id", "line_no", F.xxhash64("line").alias("h"), (spaces + 1).alias("words"), "line")
+    near = (F.length("line") >= least_chars) | (spaces + 1 >= least_words)
+    kind = F.when(~has_text("line"), BLANK).when(near, NEAR).otherwise(EQUAL)
+    return lines.select("doc_id", "line_no", F.xxhash64("line").alias("h"), kind.alias("kind"), "line")
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
-    """All lines ``(doc_id, line_no, h, words)``, and ``(h, class_id)`` of the lines with near-equal others."""
+def line_classes(docs: DataFrame, edits: int = EDITS, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
+    """All lines ``(doc_id, line_no, h, kind)``, and ``(h, class_id)`` of the lines with near-equal others."""
     spark = docs.sparkSession
     ready(spark)
-    lines = written(split_lines(docs).select("doc_id", "line_no", "h", "words"), "lines")
-    texts = split_lines(docs).where(F.col("words") >= least_words).select("h", "line")
+    near = F.col("kind") == NEAR
+    split = lambda df: split_lines(df, least_words, least_chars)
+    lines = written(split(docs).select("doc_id", "line_no", "h", "kind"), "lines")
+    texts = split(docs).where(near).select("h", "line")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    some = split_lines(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0)).where(F.col("words") >= least_words)
+    some = split(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0)).where(near)
     sample = line_keys(some.select("h", "line"), edits).distinct().groupBy("key").count()
     sample = written(sample.where("count > 1"), "sampled")
-    rows = lines.where(F.col("words") >= least_words).count() * (3 * edits + 1 + edits * edits)
+    rows = lines.where(near).count() * (3 * edits + 1 + edits * edits)
     # a key on this list holds at least a quarter of a partition's rows, so there are at most four for each partition
     heavy = [r["key"] for r in sample.where(F.col("count") * SAMPLED > max(FEW * SAMPLED, rows / (4 * parts))).select("key").collect()]
     keys = line_keys(texts, edits)
@@ -320,28 +331,29 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least_words: int = LEAST_W
     return lines, labels.select(F.col("node").alias("h"), F.col("root").alias("class_id"))
 
 
-def line_dedup(docs: DataFrame, edits: int = EDITS, least_words: int = LEAST_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, edits: int = EDITS, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``docs(doc_id, text)`` to (doc_id, line_no, class_id, first_doc_id, first_line_no, keep): a row for each line.
 
-    Lines are cut at newlines. A class holds equal lines and those linked
-    by at most ``edits`` edits; a line of under ``least_words`` words is
-    its own class and always stays. Of a class the line of the smallest
-    (doc_id, line_no) stays. Null texts have no lines; an empty text has
-    one empty line; lines of a null doc_id come first. An empty table
-    gives no rows; other columns are not read. Equal lines are told by a
-    64-bit hash.
+    Lines are cut at newlines. A class holds equal lines of any length
+    and those linked by at most ``edits`` edits, for which a line needs
+    ``least_words`` words or ``least_chars`` characters. A line of white
+    space is its own class and always stays. Of a class the line of the
+    smallest (doc_id, line_no) stays. Null texts have no lines; an empty
+    text has one empty line; lines of a null doc_id come first. An empty
+    table gives no rows; other columns are not read. Equal lines are told
+    by a 64-bit hash.
     """
-    lines, labels = line_classes(docs, edits, least_words)
-    named = lines.where(F.col("words") >= least_words).join(labels, "h", "left").select("doc_id", "line_no", F.coalesce("class_id", "h").alias("class_id"))
+    lines, labels = line_classes(docs, edits, least_words, least_chars)
+    named = lines.where(F.col("kind") != BLANK).join(labels, "h", "left").select("doc_id", "line_no", F.coalesce("class_id", "h").alias("class_id"))
     first = named.groupBy("class_id").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNull()).alias("null_id"))
     first = first.select("class_id", F.when(~F.col("null_id"), F.col("doc_id")).alias("first_doc_id"))
     at = named.join(first, "class_id").where(F.col("doc_id").eqNullSafe(F.col("first_doc_id"))).groupBy("class_id").agg(F.min("line_no").alias("first_line_no"))
-    long = named.join(first.join(at, "class_id"), "class_id").select("doc_id", "line_no", "class_id", "first_doc_id", "first_line_no")
-    short = lines.where(F.col("words") < least_words).select("doc_id", "line_no", F.col("h").alias("class_id"), F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"))
-    return long.unionByName(short).withColumn("keep", F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no")))
+    told = named.join(first.join(at, "class_id"), "class_id").select("doc_id", "line_no", "class_id", "first_doc_id", "first_line_no")
+    blank = lines.where(F.col("kind") == BLANK).select("doc_id", "line_no", F.col("h").alias("class_id"), F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"))
+    return told.unionByName(blank).withColumn("keep", F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no")))
 
 
-def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, least_words: int = LEAST_WORDS, least_left: float = LEAST_LEFT) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS, least_left: float = LEAST_LEFT) -> DataFrame:
     """Documents without the lines that repeat earlier ones, with all their columns.
 
     n_chars, where there is such a column, is set to the new length. A
@@ -349,7 +361,7 @@ def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, least_words: int =
     characters is left goes, as a copy with some short lines; one that
     loses no line stays as it is, as does a null text.
     """
-    gone = line_dedup(docs, edits, least_words).where(~F.col("keep")).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
+    gone = line_dedup(docs, edits, least_words, least_chars).where(~F.col("keep")).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
     out = docs.join(gone, "doc_id", "left")
     rest = F.array_join(F.filter(F.split("text", "\\n", -1), lambda line, i: ~F.array_contains("__gone", i)), "\n")
     out = out.withColumn("__text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest))

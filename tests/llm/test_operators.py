@@ -173,6 +173,15 @@ def test_line_dedup(spark, docs):
     assert linededup.line_dedup(empty(spark)).count() == 0
 
 
+def test_line_dedup_of_short_and_unspaced_lines(spark):
+    notice, han = "All rights reserved.", "漢字" * 30
+    near = han[:20] + "々" + han[21:]
+    rows = [(1, f"{notice}\n\n{han}\n  "), (2, f"own\n\n{notice}"), (3, f"{near}\n{notice}\n  "), (4, "own two\nown"), (5, "All rights reserved!")]
+    got = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 13
+    assert {(r["doc_id"], r["line_no"]) for r in got if not r["keep"]} == {(2, 2), (3, 0), (3, 1), (4, 1)}
+
+
 def test_decontamination(spark, docs):
     item = "A train leaves Paris at 7 km and 30 minutes before the other train that Anna takes to reach the small town by the river"
     other = "A train leaves Paris at 9 km and 45 minutes before the other train that Maria takes to reach the small town by the river"

@@ -20,7 +20,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line go, up to two edits from ten words or forty characters on, and documents of which little else is left."""
+    """Lines that repeat an earlier line go, up to two edits from ten words or forty characters on, and documents of nothing else."""
     ready(spark)
     return linededup.drop_repeated_lines(docs)
 

@@ -29,8 +29,6 @@ from siltstone.session import written
 EDITS, LEAST_WORDS, LEAST_CHARS = 2, 10, 40
 #: What a line joins: nothing if it is blank, equal lines, or near-equal ones too.
 BLANK, EQUAL, NEAR = 0, 1, 2
-#: Share of a document's characters below which what is left of it goes.
-LEAST_LEFT = 0.2
 #: Lines of a key up to which all pairs are listed; lines of a chunk beyond that.
 FEW, CHUNK = 32, 64
 #: The lines of one document in so many are looked at for heavy keys; entries of a task's set of lines met.
@@ -353,19 +351,19 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, least_words: int = LEAST_WOR
     return told.unionByName(blank).withColumn("keep", F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no")))
 
 
-def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS, least_left: float = LEAST_LEFT) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """Documents without the lines that repeat earlier ones, with all their columns.
 
     n_chars, where there is such a column, is set to the new length. A
-    document of which less than the share ``least_left`` of the
-    characters is left goes, as a copy with some short lines; one that
-    loses no line stays as it is, as does a null text.
+    document that loses lines and has nothing but white space left goes; it is the
+    first of no class, as blank lines join none. One that loses no line
+    stays as it is, as does a null text.
     """
     gone = line_dedup(docs, edits, least_words, least_chars).where(~F.col("keep")).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
     out = docs.join(gone, "doc_id", "left")
     rest = F.array_join(F.filter(F.split("text", "\\n", -1), lambda line, i: ~F.array_contains("__gone", i)), "\n")
     out = out.withColumn("__text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest))
-    out = out.where(F.col("text").isNull() | F.col("__gone").isNull() | (F.length(F.trim("__text")) > F.length("text") * least_left))
+    out = out.where(F.col("text").isNull() | F.col("__gone").isNull() | has_text("__text"))
     columns = {c: F.col(c) for c in docs.columns} | {"text": F.col("__text")}
     if "n_chars" in columns:
         columns["n_chars"] = F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast(docs.schema["n_chars"].dataType))

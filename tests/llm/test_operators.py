@@ -182,6 +182,13 @@ def test_line_dedup_of_short_and_unspaced_lines(spark):
     assert {(r["doc_id"], r["line_no"]) for r in got if not r["keep"]} == {(2, 2), (3, 0), (3, 1), (4, 1)}
 
 
+def test_what_is_left_of_a_document_stays(spark):
+    shared, other = prose(60, 200), prose(61, 200)
+    rows = [(1, shared), (2, f"{shared}\nonly here\n{other}"), (3, f"{other}\n{shared}\nits own words"), (4, f"{shared}\n\n \t\u00a0"), (5, " \n"), (6, f"{shared}\n{shared}")]
+    kept = linededup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in kept} == {1: shared, 2: f"only here\n{other}", 3: "its own words", 5: " \n"}
+
+
 def test_decontamination(spark, docs):
     item = "A train leaves Paris at 7 km and 30 minutes before the other train that Anna takes to reach the small town by the river"
     other = "A train leaves Paris at 9 km and 45 minutes before the other train that Maria takes to reach the small town by the river"

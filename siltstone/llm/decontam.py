@@ -4,8 +4,8 @@ Numbers, names and units become typed placeholders, so that a question
 with other values has the same template. Windows of template words are
 hashed and joined with the benchmark's windows; matches on one diagonal
 (same distance between the two places) belong to one instance of an item.
-An instance counts if its slots agree: a value of the item always stands
-where the same value of the document does.
+A value of the item for which two values of the document stand is a
+clash: windows that hold it count only where they are verbatim.
 """
 
 from __future__ import annotations
@@ -79,8 +79,8 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs(doc_id, text)`` against ``benchmark(item_id, text)``: (doc_id, item_id, windows, slots) of each leaked item.
 
-    ``windows`` counts the item's windows that consistent instances in
-    the document match, ``slots`` the distinct values paired. Null and
+    ``windows`` counts the item's windows that stand in the document
+    without a clash or verbatim, ``slots`` the most slots of one of them. Null and
     short texts match nothing; repeated rows with one doc_id count as one
     document; null ids are kept apart by no one and match as one document
     without id. Empty tables give no rows; other columns are not read.
@@ -96,20 +96,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     hits = written(hits, "hits")
     slotted = hits.where(F.size("item_slots") > 0)
     bad = clashes(docs, slotted, window)
-    good = hits.join(bad, ["doc_id", "item_id", "diagonal"], "left_anti")
+    good = hits.join(bad, ["doc_id", "item_id", "diagonal", "item_at"], "left_anti")
     found = good.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("windows"), F.max("need").alias("need"), F.max(F.size("item_slots")).alias("slots"))
     return found.where("windows >= need").select("doc_id", "item_id", "windows", "slots")
 
 
 def clashes(docs: DataFrame, slotted: DataFrame, window: int) -> DataFrame:
-    """The instances (doc_id, item_id, diagonal) in which one value of the item stands for two of the document, or the other way round."""
+    """The windows (doc_id, item_id, diagonal, item_at) with a value of the item for which two of the document stand in the instance, but for verbatim ones."""
     asked = docs.where("text is not null").join(slotted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", tokens(F.col("text")).alias("words"))
     wanted = slotted.select("doc_id", "at").distinct().groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
     values = asked.join(wanted, "doc_id").select("doc_id", "words", F.explode("ats").alias("at")).select("doc_id", "at", slots(F.col("words"), F.col("at"), window).alias("doc_slots"))
-    pairs = slotted.join(values, ["doc_id", "at"]).select("doc_id", "item_id", "diagonal", F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("p"))
-    pairs = pairs.select("doc_id", "item_id", "diagonal", F.col("p.item_slots").alias("x"), F.col("p.doc_slots").alias("y")).distinct()
     instance = ["doc_id", "item_id", "diagonal"]
-    return pairs.groupBy(instance).agg(F.count("*").alias("n"), F.countDistinct("x").alias("nx"), F.countDistinct("y").alias("ny")).where("n <> nx or n <> ny").select(instance)
+    same = F.col("item_slots") == F.col("doc_slots")
+    pairs = slotted.join(values, ["doc_id", "at"]).select(*instance, "item_at", same.alias("same"), F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("p"))
+    pairs = written(pairs.select(*instance, "item_at", "same", F.col("p.item_slots").alias("x"), F.col("p.doc_slots").alias("y")), "slots")
+    two = pairs.groupBy(*instance, "x").agg(F.min("y").alias("least"), F.max("y").alias("most")).where("least <> most").select(*instance, "x")
+    return pairs.join(two, [*instance, "x"], "left_semi").groupBy(*instance, "item_at").agg(F.max("same").alias("same")).where("not same").drop("same")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -202,6 +202,15 @@ def test_decontamination(spark, docs):
     assert decontam.matches(docs, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_counts_windows_beside_a_clash(spark):
+    item = "Each of the 3 boys who live near the old mill buys as many apples as he can carry home while each of the 3 girls sells all of the pears that her mother picked on that day"
+    twin = "Tom had 3 apples and 5 pears in his basket when the farmer asked him to share them"
+    benchmark = spark.createDataFrame([(1, item), (2, twin)], "item_id long, text string")
+    rows = [(1, item.replace("3 girls", "4 girls")), (2, twin.replace("3", "4").replace("5", "4")), (3, "of the 3 boys and each of the 4 girls who live near the sea")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.matches(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert got == {(1, 1), (2, 2)}
+
+
 def test_language(spark):
     sets = {"aa": "la lo le li lu ra ro", "bb": "zik zak zok tik tak", "cc": "mum nun mim non"}
     r = random.Random(1)

@@ -5,7 +5,9 @@ with other values has the same template. Windows of template words are
 hashed and joined with the benchmark's windows; matches on one diagonal
 (same distance between the two places) belong to one instance of an item.
 A value of the item for which two values of the document stand is a
-clash: windows that hold it count only where they are verbatim.
+clash: windows that hold it count only where they are verbatim. Windows
+of mostly placeholders, and items shorter than a window, are matched by
+their words and values as they stand.
 """
 
 from __future__ import annotations
@@ -48,6 +50,21 @@ def template(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(w.startswith("§"), F.substring(w, 1, 2)).otherwise(w))
 
 
+def literal(words: Column) -> Column:
+    """The words without the marks of slots, so that a name at the start of a line is the same word."""
+    return F.transform(words, lambda w: F.when(w.startswith("§"), F.substring(w, 3, 1 << 20)).otherwise(w))
+
+
+def run_hash(plain: Column, at: Column, length: int) -> Column:
+    """Of words as they stand; apart from the hashes of templates."""
+    return F.xxhash64(F.lit("literal"), F.slice(plain, at + 1, length))
+
+
+def runs(plain: Column, length: int) -> Column:
+    """The place and hash of each run of so many words."""
+    return F.transform(places(plain, length), lambda i: F.struct(i.alias("at"), run_hash(plain, i, length).alias("w")))
+
+
 def places(words: Column, window: int) -> Column:
     """The starts of all windows, from 0."""
     return F.when(F.size(words) >= window, F.sequence(F.lit(0), F.size(words) - window)).otherwise(F.array().cast("array<int>"))
@@ -58,21 +75,28 @@ def slots(words: Column, at: Column, window: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``benchmark(item_id, text)`` to ``(w, item_id, item_at, item_slots, need)``: its windows of enough plain words.
-
-    ``need`` is how many windows an instance must match. Items of fewer
-    words than a window have none.
+    """``benchmark(item_id, text)`` to ``(w, length, item_id, item_at, item_slots, need, need_all)``: its windows.
+
+    A window of enough plain words is hashed as a template, with length
+    null. Others are hashed as they stand, with their length and no
+    slots: those of mostly placeholders, and all words of an item that is
+    shorter than a window. ``need`` is how many template windows an
+    instance must match, 0 if the item has none, or else ``need_all``
+    windows of both kinds.
     """
-    items = benchmark.where("text is not null").select("item_id", tokens(F.col("text")).alias("words"))
-    found = items.select("item_id", "words", template(F.col("words")).alias("plain"), F.explode_outer(places(F.col("words"), window)).alias("item_at")).where("item_at is not null")
-    found = found.select(
-        F.xxhash64(F.slice("plain", F.col("item_at") + 1, window)).alias("w"),
-        "item_id",
-        "item_at",
-        slots(F.col("words"), F.col("item_at"), window).alias("item_slots"),
-    )
-    found = written(found.where(F.size("item_slots") <= window - LITERAL).distinct(), "items")
-    need = found.groupBy("item_id").agg(F.least(F.lit(LEAST), F.countDistinct("item_at")).alias("need"))
+    items = written(benchmark.where("text is not null").select("item_id", tokens(F.col("text")).alias("words")), "items")
+    items = items.select("item_id", "words", template(F.col("words")).alias("plain"), literal(F.col("words")).alias("bare"))
+    found = items.select("item_id", "words", "plain", "bare", F.explode_outer(places(F.col("words"), window)).alias("item_at")).where("item_at is not null")
+    found = found.withColumn("item_slots", slots(F.col("words"), F.col("item_at"), window))
+    enough = F.size("item_slots") <= window - LITERAL
+    plain = found.where(enough).select(F.xxhash64(F.slice("plain", F.col("item_at") + 1, window)).alias("w"), F.lit(None).cast("int").alias("length"), "item_id", "item_at", "item_slots")
+    none = F.array().cast("array<string>").alias("item_slots")
+    heavy = found.where(~enough).select(run_hash(F.col("bare"), F.col("item_at"), window).alias("w"), F.lit(window).alias("length"), "item_id", "item_at", none)
+    short = items.where((F.size("words") > 0) & (F.size("words") < window))
+    short = short.select(F.xxhash64(F.lit("literal"), "bare").alias("w"), F.size("bare").alias("length"), "item_id", F.lit(0).alias("item_at"), none)
+    found = written(plain.unionByName(heavy).unionByName(short).distinct(), "items")
+    at = F.when(F.col("length").isNull(), F.col("item_at"))
+    need = found.groupBy("item_id").agg(F.least(F.lit(LEAST), F.countDistinct(at)).alias("need"), F.least(F.lit(LEAST), F.countDistinct("item_at")).alias("need_all"))
     return written(found.join(need, "item_id"), "items")
 
 
@@ -80,8 +104,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     """``docs(doc_id, text)`` against ``benchmark(item_id, text)``: (doc_id, item_id, windows, slots) of each leaked item.
 
     ``windows`` counts the item's windows that stand in the document
-    without a clash or verbatim, ``slots`` the most slots of one of them. Null and
-    short texts match nothing; repeated rows with one doc_id count as one
+    without a clash or verbatim, ``slots`` the most slots of one of them. Null
+    texts match nothing, nor do items without a word; repeated rows with one doc_id count as one
     document; null ids are kept apart by no one and match as one document
     without id. Empty tables give no rows; other columns are not read.
     """
@@ -92,13 +116,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     hashed = words.select("doc_id", F.transform(places(F.col("plain"), window), lambda i: F.xxhash64(F.slice("plain", i + 1, window))).alias("hashes"))
     # the outer form: for the inner one a filter on the array is inferred, and hashing would run twice
     spots = hashed.select("doc_id", F.posexplode_outer("hashes").alias("at", "w")).where("w is not null")
-    hits = spots.join(side(items), "w").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "at", "item_at", "item_slots", "need")
+    columns = ["doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "at", "item_at", "item_slots", "length", "need", "need_all"]
+    hits = spots.join(side(items.where("length is null")), "w").select(*columns)
+    lengths = sorted(r["length"] for r in items.where("length is not null").select("length").distinct().collect())  # a window's at most
+    if lengths:
+        bare = docs.where("text is not null").select("doc_id", literal(tokens(F.col("text"))).alias("bare"))
+        spots = bare.select("doc_id", F.concat(*(runs(F.col("bare"), n) for n in lengths)).alias("runs")).select("doc_id", F.explode_outer("runs").alias("r")).where("r is not null").select("doc_id", "r.at", "r.w")
+        hits = hits.unionByName(spots.join(side(items.where("length is not null")), "w").select(*columns))
     hits = written(hits, "hits")
     slotted = hits.where(F.size("item_slots") > 0)
     bad = clashes(docs, slotted, window)
     good = hits.join(bad, ["doc_id", "item_id", "diagonal", "item_at"], "left_anti")
-    found = good.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("windows"), F.max("need").alias("need"), F.max(F.size("item_slots")).alias("slots"))
-    return found.where("windows >= need").select("doc_id", "item_id", "windows", "slots")
+    plain = F.when(F.col("length").isNull(), F.col("item_at"))
+    found = good.groupBy("doc_id", "item_id").agg(F.countDistinct(plain).alias("plain"), F.countDistinct("item_at").alias("windows"), F.max("need").alias("need"), F.max("need_all").alias("need_all"), F.max(F.size("item_slots")).alias("slots"))
+    return found.where("(need > 0 and plain >= need) or windows >= need_all").select("doc_id", "item_id", "windows", "slots")
 
 
 def clashes(docs: DataFrame, slotted: DataFrame, window: int) -> DataFrame:

@@ -211,6 +211,14 @@ def test_decontamination_counts_windows_beside_a_clash(spark):
     assert got == {(1, 1), (2, 2)}
 
 
+def test_decontamination_of_short_and_number_heavy_items(spark):
+    sums = "12 + 7 = 19, 30 - 4 = 26, 15 + 8 = 23, 9 + 5 = 14, 40 - 6 = 34"
+    benchmark = spark.createDataFrame([(1, "What is the capital of France?"), (2, sums), (3, "法国的首都是哪里"), (4, "...")], "item_id long, text string")
+    rows = [(1, "so, What is the Capital of france? it asks"), (2, f"solve {sums} now"), (3, "问：法国的首都是哪里？"), (4, "What is the capital of Spain?"), (5, sums.replace("19", "18").replace("26", "25").replace("23", "22").replace("14", "13")), (6, None), (7, "")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.matches(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_language(spark):
     sets = {"aa": "la lo le li lu ra ro", "bb": "zik zak zok tik tak", "cc": "mum nun mim non"}
     r = random.Random(1)

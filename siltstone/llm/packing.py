@@ -7,8 +7,9 @@ After ``r`` rounds a source has been served ``floor(r * share * window /
 quantum)`` quanta, so any task knows the deficits at any round without
 the rounds before: each document is cut where its source's rounds end,
 rounds are laid one after another, and windows are cut from that stream.
-What a queue has left beyond its last whole quantum follows at the end,
-where the last tokens go into windows whose lengths are powers of two.
+Sources without a target follow, mixed by their own sizes; what a queue
+has left beyond its last whole quantum comes at the end, where the last
+tokens go into windows whose lengths are powers of two.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.llm.common import ready
-from siltstone.llm.tokens import id_type, tokenized
+from siltstone.llm.tokens import binaries, gathered, id_type, numbers, tokenized
 from siltstone.session import written
 
-#: Tokens of a window, and of a quantum, which divides it.
-WINDOW, QUANTUM = 2048, 64
+#: Tokens of a window, and of a quantum, which divides it: with one token every window keeps the shares to within a token of each source.
+WINDOW, QUANTUM = 2048, 1
 
 
 def leftover(total: int, window: int) -> list[tuple[int, int]]:
@@ -59,6 +60,29 @@ def rounds_of(start: int, end: int, whole: int, num: int, den: int, last: int, q
     return found
 
 
+def schedule(weights: dict[str, float], own: dict[str, int], slots: int) -> tuple[dict[str, list[tuple[int, int, int, int]]], int]:
+    """The phases of each source with a target, and how many rounds they take.
+
+    A phase (first round, quanta served before, and by its end, quanta a
+    round in units of 2**-20) ends when a source runs out; the others
+    then share its room, so that rounds stay as long as a window.
+    """
+    active = {q: w for q, w in weights.items() if own.get(q)}
+    plan: dict[str, list] = {q: [] for q in active}
+    served, at = dict.fromkeys(active, 0), 0
+    while active:
+        scale = sum(active.values())
+        rate = {q: max(1, round(w / scale * slots * (1 << 20))) for q, w in active.items()}
+        rounds = min(-(-((own[q] - served[q]) << 20) // rate[q]) for q in active)
+        for q in active:
+            upto = min(own[q], served[q] + (rounds * rate[q] >> 20))
+            plan[q].append((at, served[q], upto, rate[q]))
+            served[q] = upto
+        at += rounds
+        active = {q: w for q, w in active.items() if served[q] < own[q]}
+    return plan, at
+
+
 def pack(
     docs: DataFrame,
     targets: dict[str, float] | None = None,
@@ -70,11 +94,14 @@ def pack(
 ) -> DataFrame:
     """``docs(doc_id, source, text)`` to pieces: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), and ids if asked for.
 
-    ``targets`` gives sources their share of a window (others get none
-    until the named ones are done); without it, shares are those of all
-    tokens, which every window then keeps to the end. A null source and a
-    null or empty text count as the empty string; such a text is the end
-    id alone. Rows that repeat are packed as often as they occur. Extra
+    ``targets`` gives sources their share of a window. A window keeps
+    them to within ``quantum`` tokens of each source; one that runs out
+    leaves its room to the others, in proportion, and sources without a
+    target, or with none above 0, follow when all are done, by their
+    sizes. Without ``targets``, shares are those of all tokens,
+    which every window then keeps to the end. A null source and a null or
+    empty text count as the empty string; such a text is the end id
+    alone. Rows that repeat are packed as often as they occur. Extra
     columns are not read; an empty table gives no pieces.
     """
     if window % quantum or window & (window - 1):
@@ -91,31 +118,30 @@ def pack(
     sizes = queues.agg(F.coalesce(F.sum("whole"), F.lit(0)).alias("whole"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     whole, total = int(sizes["whole"]), int(sizes["n"])
     slots = window // quantum
-    if targets:
-        scale = sum(targets.values())
-        shares = {q: max(1, round(w / scale * slots * (1 << 20))) for q, w in targets.items() if w > 0}
-        longest = max((-(-int(r["whole"]) * (1 << 20) // shares[r["q"]]) for r in queues.where(F.col("q").isin(list(shares))).collect()), default=0)
-    else:
-        shares, longest = None, -(-whole // slots)
+    shares = {q: w for q, w in (targets or {}).items() if w > 0}
+    named = {r["q"]: int(r["whole"]) for r in queues.where(F.col("q").isin(list(shares))).collect()} if shares else {}  # a row for each target at most
+    plan, first = schedule(shares, named, slots)
+    rest = whole - sum(named.values())
+    last = first + -(-rest // slots)
     segment = pa.schema([("round", pa.int64()), ("q", pa.int64()), ("into", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for uid, q, key, at, n, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if shares is None:
-                    num, den, quanta = slots * own, whole, own
-                else:
-                    num, den, quanta = shares.get(q, 0), 1 << 20, own if q in shares else 0
-                for r, into, s, length in rounds_of(at, at + n, quanta, num, den, longest + key % 1024, quantum):
-                    out.append((r, key, into, uid, s - at, length))
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=segment)
+                phases = [(r, lo, hi, rate, 1 << 20) for r, lo, hi, rate in plan[q]] if q in plan else [(first, 0, own, slots * own, rest)]
+                for r0, lo, hi, num, den in phases:
+                    lo, stop = lo * quantum, at + n if hi == own else min(at + n, hi * quantum)  # the last phase has the tail too
+                    for r, into, s, length in rounds_of(max(at, lo) - lo, stop - lo, hi - lo // quantum, num, den, last - r0 + key % 1024, quantum):
+                        out.append((r0 + r, key, into, uid, s + lo - at, length))
+            if out:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=segment)
 
     placed = ids.select("uid", "q", "part", "start", "n_tokens").join(base, ["q", "part"]).join(queues.select("q", "whole"), "q")
     placed = placed.select("uid", "q", F.xxhash64("q").alias("key"), (F.col("base") + F.col("start")).alias("at"), "n_tokens", "whole")
     segments = written(placed.mapInArrow(cut, "round long, q long, into long, uid long, start long, length long"), "segments")
     # the tokens before each round, in two levels: no task adds up all rounds
-    wide = max(1, int((longest + 1024) ** 0.5))
+    wide = max(1, int((last + 1024) ** 0.5))
     rounds = segments.groupBy("round").agg(F.sum("length").alias("n")).withColumn("bucket", F.floor(F.col("round") / wide))
     buckets = rounds.groupBy("bucket").agg(F.sum("n").alias("n"))
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -132,27 +158,40 @@ def pack(
     kind = id_type(tokenizer, end_id)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crc = zlib.crc32
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, n, ids, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = np.frombuffer(ids, kind).astype("<u4").tobytes()
-                for s in found:
-                    start, at = s["start"], s["at"]
-                    end = at + s["length"]
-                    while at < end:
-                        number = at // window
-                        if number < full:
-                            first, last = number * window, (number + 1) * window
-                        else:
-                            k = next(i for i, (_, b) in enumerate(tail) if at < b)
-                            number, (first, last) = full + k, tail[k]
-                        stop = min(end, last)
-                        part = raw[4 * start : 4 * (start + stop - at)]
-                        out.append((doc_id, start, stop - at, crc(part), n, number, at - first, *([part] if with_ids else [])))
-                        start, at = start + stop - at, stop
-            if out:
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), piece, strict=True)], schema=piece)
+            if not batch.num_rows:
+                continue
+            ids, stops = numbers(batch.column(2), kind)
+            ids = ids.astype("<u4")
+            found = batch.column(3)
+            start, length, at = (found.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("start", "length", "at"))
+            doc = np.repeat(np.arange(len(stops)), found.value_lengths().to_numpy(zero_copy_only=False))
+            # a segment gives a piece for each window it touches
+            first = at // window
+            many = (at + length - 1) // window - first + 1
+            own = np.repeat(np.arange(len(at)), many)
+            number = first[own] + np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
+            low, high = number * window, (number + 1) * window
+            for a, b in reversed(tail):  # the last, partial window is cut again
+                split = np.flatnonzero((number == full) & (high > a) & (at[own] + length[own] > a) & (low < a))
+                own, number = np.append(own, own[split]), np.append(number, number[split])
+                low, high = np.append(low, np.full(len(split), a)), np.append(high, high[split])
+                high[split] = a
+            begin, end = np.maximum(at[own], low), np.minimum((at + length)[own], high)
+            fit = end > begin
+            own, number, low, begin, end = own[fit], number[fit], low[fit], begin[fit], end[fit]
+            for k, (a, _) in enumerate(tail):
+                inside = begin >= a
+                number[inside], low[inside] = full + k, a
+            s, n, of = start[own] + begin - at[own], end - begin, doc[own]
+            place = (stops - np.diff(stops, prepend=0))[of] + s
+            raw = memoryview(ids).cast("B")
+            crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(place.tolist(), (place + n).tolist(), strict=True)]
+            columns = [batch.column(0).take(pa.array(of)), s, n, crc, batch.column(1).take(pa.array(of)), number, begin - low]
+            columns = [c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns]
+            if with_ids:
+                columns.append(binaries(gathered(ids, place, n), n))
+            yield pa.record_batch(columns, schema=piece)
 
     joined = ids.select("uid", "doc_id", "n_tokens", "ids").join(laid, "uid").select("doc_id", "n_tokens", "ids", "segments")
     return joined.mapInArrow(pieces, ", ".join(f"`{n}` {t}" for n, t in types))

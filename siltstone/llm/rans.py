@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import ready
-from siltstone.llm.tokens import Encoder, id_type, tokenized, tokenizer_json
+from siltstone.llm.tokens import Encoder, binaries, numbers, tokenized, tokenizer_json
 from siltstone.session import table_path, written
 
 MAGIC = b"STRA"
@@ -159,12 +159,7 @@ def token_counts(ids: DataFrame, size: int, kind: str = "<u4") -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                a = np.frombuffer(x, kind)
-                if len(a) > size // 8:
-                    sums += np.bincount(a, minlength=size)
-                else:
-                    np.add.at(sums, a, 1)
+            sums += np.bincount(numbers(batch.column(0), kind)[0], minlength=size)
         at = np.flatnonzero(sums)
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], schema=schema)
 
@@ -188,9 +183,9 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 2, tokenizer:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     ids = written(tokenized(ordered, ["doc_id"], end_id, tokenizer), "ids")
-    size = max(Encoder(tokenizer_json(tokenizer)).size, end_id + 1)
-    kind = id_type(tokenizer, end_id)
-    freq = scaled(token_counts(ids, size, kind))
+    encoder = Encoder(tokenizer_json(tokenizer), end_id)
+    kind = encoder.kind
+    freq = scaled(token_counts(ids, encoder.size, kind))
     spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id int, freq long").coalesce(1).write.parquet(f"{folder}/frequencies")
     totals = ids.groupBy("part").agg(F.max(F.col("start") + F.col("n_tokens")).alias("n")).toPandas().sort_values("part")  # a row for each part
     base = dict(zip(totals["part"].tolist(), (totals["n"].cumsum() - totals["n"]).tolist(), strict=True))
@@ -242,10 +237,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
             for block in batch.column(0).to_pylist():
                 _, start, doc_ids, lengths, tokens = unpack_block(coder, block)
                 ends = np.cumsum(lengths)
-                raw = tokens.astype("<u4").tobytes()
-                cut = [raw[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.record_batch(
-                    [pa.array(doc_ids, pa.int64()), pa.array(start + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(cut, pa.binary())],
+                    [pa.array(doc_ids, pa.int64()), pa.array(start + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), binaries(tokens.astype("<u4"), lengths)],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 

@@ -1,16 +1,14 @@
 """The operators against brute force, on small tables with nulls, empty and long texts, ties, repeats, no rows and clashing columns."""
 
 import random
-import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 
-from siltstone.llm import chat, decontam, langid, linededup, packing, rans, secrets, simhash, toxicity, voronoi
+from siltstone.llm import chat, decontam, langid, linededup, rans, secrets, simhash, toxicity, voronoi
 from siltstone.llm.components import components
-from siltstone.llm.tokens import Encoder, tokenizer_json
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 
@@ -99,50 +97,6 @@ def test_rans_blocks():
     assert rans.scaled(np.array([10**9, 1, 0, 1])).sum() == 1 << rans.SCALE_BITS
 
 
-def test_token_files(spark, docs):
-    encoder = Encoder(tokenizer_json())
-    rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
-    expected, at = [], 0
-    for r in rows:
-        ids = encoder.tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [2]
-        expected.append((r["doc_id"], at, len(ids), np.array(ids, "<u4").tobytes()))
-        at += len(ids)
-    got = rans.round_trip(docs).collect()
-    assert Counter((r["doc_id"], r["start"], r["n_tokens"], bytes(r["ids"])) for r in got) == Counter(expected)
-    assert rans.round_trip(empty(spark)).count() == 0
-
-
-def test_encoder_is_exact():
-    encoder, r = Encoder(tokenizer_json()), random.Random(4)
-    letters = list("abzéñßЖ漢0٣ \n.,'s!-_😀ª²") + ["don't", " the", "A.B.", "<|endoftext|>"]
-    for _ in range(3000):
-        text = "".join(r.choice(letters) for _ in range(r.randint(0, 14)))
-        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
-
-
-def test_packing(spark, docs):
-    got = packing.pack(docs).collect()
-    encoder = Encoder(tokenizer_json())
-    expected = Counter()
-    for r in docs.select("doc_id", "text").collect():
-        expected[(r["doc_id"], encoder.encode([r["text"]], 1)[0])] += 1
-    pieces = {}
-    for r in got:
-        assert zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
-        pieces.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-    for own in pieces.values():
-        own.sort()
-        assert [o for o, _ in own] == np.cumsum([0] + [n for _, n in own])[:-1].tolist()
-        total = sum(n for _, n in own)
-        assert total == 2048 or total & (total - 1) == 0
-    whole = Counter()
-    for key in {r["doc_id"] for r in got}:
-        own = sorted((r["start"], bytes(r["ids"]), r["doc_tokens"]) for r in got if r["doc_id"] == key)
-        whole[key] += sum(len(x[1]) // 4 for x in own)
-    assert whole == Counter({k: sum(n * len(b) // 4 for (i, b), n in expected.items() if i == k) for k in {i for i, _ in expected}})
-    assert packing.pack(empty(spark)).count() == 0
-
-
 def test_line_distance_and_keys():
     r = random.Random(2)
     for _ in range(1500):

@@ -3,12 +3,14 @@
 import re
 from pathlib import Path
 
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from siltstone.llm import linededup
 from siltstone.llm.simhash import fingerprint
-from siltstone.llm.tokens import Encoder, tokenizer_json
+from siltstone.llm.tokens import TOKENIZER
 from siltstone.session import written
 
 FOLDER = "/root/testdata/sf0.001"
@@ -75,8 +77,8 @@ def test_stages(spark):
         assert {r["doc_id"]: r["text"] for r in docs.collect()} == reference(before), name
         assert all(r["n_chars"] == len(r["text"]) for r in docs.collect())
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).collect()
-    encoder = Encoder(tokenizer_json())
-    tokens = {r["doc_id"]: len(encoder.encode([r["text"]], 1)[0]) // 4 for r in docs.collect()}
+    library = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
+    tokens = {r["doc_id"]: len(library.encode(r["text"], add_special_tokens=False).ids) + 1 for r in docs.collect()}
     held: dict[int, int] = {}
     for p in pieces:
         held[p["doc_id"]] = held.get(p["doc_id"], 0) + p["length"]

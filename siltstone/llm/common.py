@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +31,14 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def fresh(columns: Iterable[str], name: str) -> str:
+    """``name`` with underscores after it until no column, in any case, is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Deal rows out by key into as many partitions as the session shuffles to."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

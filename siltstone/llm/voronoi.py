@@ -1,16 +1,20 @@
 """Exact top-k search by a Voronoi k-nearest-neighbour join.
 
 Pivots split the vectors into groups. Each group's summary holds its size,
-its radius, and the distances of the k members closest to the pivot. By
-the Cauchy-Schwarz inequality these bound every inner product of a query
-with the group from above, and k of them from below, so a query is sent
-only to groups that can still hold one of its k best. Groups are cut into
-chunks and their queries into blocks of bounded size; each cell of the two
-is solved locally, and the best of all cells are merged.
+its radius, and the distances of the members closest to the pivot, of
+k + 1 different ids. By the Cauchy-Schwarz inequality these bound every
+inner product of a query with the group from above, and k of them from
+below; the sample that the pivots are chosen from gives true products as
+a second bound from below. A query is sent only to groups that can still
+hold one of its k best. Groups are cut into chunks and their queries into
+blocks of bounded size; each cell of the two is solved locally, and the
+best of all cells are merged. How many pairs of query and group were kept
+is logged.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +27,12 @@ from pyspark.sql.window import Window
 from siltstone.llm.common import ready, spread
 from siltstone.session import written
 
-#: Pivots, vectors they are chosen from, vectors of a chunk at least and at most, queries of a block.
-PIVOTS, SAMPLE, CHUNK_LEAST, CHUNK_MOST, QUERIES = 64, 4096, 32, 8192, 2048
+#: Pivots at most (the square root of the number of vectors, up to here), vectors they are chosen from.
+PIVOTS, SAMPLE = 1024, 4096
+#: Vectors of a chunk at least and at most, queries of a block, vectors multiplied at a time.
+CHUNK_LEAST, CHUNK_MOST, QUERIES, TILE = 32, 8192, 4096, 1024
 EVERY = 50
+_log = logging.getLogger(__name__)
 
 
 def integers(vectors: DataFrame, key: str, column: str) -> DataFrame:
@@ -79,7 +86,41 @@ def assigned(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return rows.select("id", "v").mapInArrow(run, "id long, v array<long>, g int, d double")
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = EVERY, key: str = "vec_id", column: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
+def closest(data: DataFrame, k: int) -> dict[int, list[tuple[float, int]]]:
+    """Of each group of ``data(id, g, d)`` the k least distances of different ids: a task cuts its share first."""
+    schema = pa.schema([("g", pa.int32()), ("d", pa.float64()), ("id", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, dict[int, float]] = {}
+        for batch in batches:
+            ids, g, d = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            order = np.lexsort((ids, d, g))
+            starts = np.flatnonzero(np.append(True, g[order][1:] != g[order][:-1])) if len(g) else []
+            for i, j in zip(starts, [*starts[1:], len(g)], strict=True):
+                held = best.setdefault(int(g[order[i]]), {})
+                met = 0
+                seen: set[int] = set()
+                for x in order[i:j].tolist():
+                    if int(ids[x]) not in seen:
+                        seen.add(int(ids[x]))
+                        held[int(ids[x])] = min(held.get(int(ids[x]), np.inf), float(d[x]))
+                        met += 1
+                        if met == k:
+                            break
+                if len(held) > k:
+                    best[int(g[order[i]])] = dict(sorted(held.items(), key=lambda x: (x[1], x[0]))[:k])
+        rows = [(g, d, i) for g, held in best.items() for i, d in held.items()]
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+
+    rows = data.select("id", "g", "d").mapInArrow(run, "g int, d double, id long").groupBy("g", "id").agg(F.min("d").alias("d"))
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("d", "id"))).where(F.col("r") <= k)
+    found: dict[int, list[tuple[float, int]]] = {}
+    for r in rows.select("g", "d", "id").collect():  # at most k rows for each pivot
+        found.setdefault(r["g"], []).append((r["d"], r["id"]))
+    return found
+
+
+def top_k(vectors: DataFrame, k: int = 5, every: int = EVERY, key: str = "vec_id", column: str = "embedding", pivots: int | None = None) -> DataFrame:
     """The k highest inner products of each query: (query_id, rank, vec_id, score).
 
     Queries are the rows whose id is divisible by ``every``; candidates
@@ -87,9 +128,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = EVERY, key: str = "vec_id
     query with fewer candidates gets all. Null ids, null vectors and
     vectors with a null or non-finite component take no part; of vectors
     of unequal length the shorter count as followed by zeros; rows that
-    repeat an id are candidates each. No query, no rows. Pivots come from
+    repeat an id are candidates each, and queries each if their vectors
+    differ, whose best are merged. No query, no rows. Pivots come from
     ``SAMPLE`` vectors chosen by hash; every vector is indexed, and the
-    result is exact. Components must be below 2**20 in size.
+    result is exact. Components must be below 2**20 in size. Other
+    columns are not read.
     """
     spark = vectors.sparkSession
     ready(spark)
@@ -99,34 +142,40 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = EVERY, key: str = "vec_id
     out_type = "query_id long, vec_id long, score long"
     share = min(1.0, SAMPLE / max(1, n))
     chosen = rows.where(F.pmod(F.xxhash64(F.lit("pivots"), "id"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * SAMPLE).toPandas().sort_values("id")
-    centres = choose_pivots(matrix(chosen["v"].tolist(), width), pivots)
+    sample, sample_ids = matrix(chosen["v"].tolist(), width), chosen["id"].to_numpy(np.int64)
+    centres = choose_pivots(sample, pivots or max(1, min(PIVOTS, int(n**0.5))))
     data = written(assigned(rows, centres), "groups")
-    near = Window.partitionBy("g", "part").orderBy("d")
-    # the k least distances of each task's share of a group, then of the group: ranks are cut within tasks first
-    least = data.select("g", "d", F.spark_partition_id().alias("part")).withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1).select("g", "d")
-    close = {r["g"]: sorted(r["ds"])[: k + 1] for r in least.groupBy("g").agg(F.collect_list("d").alias("ds")).collect()}
+    close = closest(data, k + 1)
     sums = data.groupBy("g").agg(F.count("*").alias("n"), F.max("d").alias("radius")).collect()  # a row for each pivot
     chunk = int(min(CHUNK_MOST, max(CHUNK_LEAST, n // (4 * len(centres)))))
-    summary = spark.sparkContext.broadcast((centres, [(r["g"], r["radius"], close[r["g"]]) for r in sums]))
+    summary = spark.sparkContext.broadcast((centres, [(r["g"], r["radius"], close[r["g"]]) for r in sums], sample, sample_ids))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each group that can hold one of a query's k best."""
-        p, groups = summary.value
+        p, groups, sample, sample_ids = summary.value
         at = np.array([g for g, _, _ in groups], np.int64)
         radius = np.array([r for _, r, _ in groups])
+        owner = np.array([j for j, (_, _, near) in enumerate(groups) for _ in near], np.int64)
+        distance = np.array([d for _, _, near in groups for d, _ in near])
+        near_ids = np.array([i for _, _, near in groups for _, i in near], np.int64)
         for batch in batches:
-            q = matrix(batch.column(1).to_pylist(), p.shape[1])
+            q, ids = matrix(batch.column(1).to_pylist(), p.shape[1]), batch.column(0).to_numpy()
             to_pivot = q @ p[at].T
             size = np.sqrt((q * q).sum(axis=1))
             above = to_pivot + size[:, None] * radius[None, :] + 1e-6 * (1 + np.abs(to_pivot))
-            below = np.concatenate([to_pivot[:, [j]] - size[:, None] * np.array(ds)[None, :] for j, (_, _, ds) in enumerate(groups)], axis=1)
-            # k others besides the query itself: the (k + 1)-th best bound
-            floor = np.partition(below, -(k + 1), axis=1)[:, -(k + 1)] if below.shape[1] > k else np.full(len(q), -np.inf)
+            floor = np.full(len(q), -np.inf)
+            # k others besides the rows of the query's own id: each group's list and the sample hold different rows
+            for below, owners in ((to_pivot[:, owner] - size[:, None] * distance[None, :], near_ids), (q @ sample.T, sample_ids)):
+                if below.shape[1] >= k:
+                    below[ids[:, None] == owners[None, :]] = -np.inf
+                    floor = np.maximum(floor, np.partition(below, -k, axis=1)[:, -k])
             i, j = np.nonzero(above >= (floor - 1e-6 * (1 + np.abs(floor)))[:, None])
             yield pa.record_batch([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(at[j], pa.int32())], names=["id", "v", "g"])
 
     asked = written(rows.where(F.col("id") % every == 0).distinct().mapInArrow(route, "id long, v array<long>, g int"), "asked")
-    blocks = {r["g"]: -(-r["count"] // QUERIES) for r in asked.groupBy("g").count().collect()}
+    counts = {r["g"]: r["count"] for r in asked.groupBy("g").count().collect()}  # a row for each pivot
+    _log.info("%d of %d pairs of query and group are kept", sum(counts.values()), shape["q"] * len(sums))
+    blocks = {g: -(-m // QUERIES) for g, m in counts.items()}
     chunks = {r["g"]: -(-r["n"] // chunk) for r in sums}
     if not blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -138,18 +187,21 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = EVERY, key: str = "vec_id
     def solve(queries: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(found):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        qs, xs = queries["id"].to_numpy(), found["id"].to_numpy()
-        score = products(matrix(queries["v"].tolist(), width), matrix(found["v"].tolist(), width))
+        xs, x = found["id"].to_numpy(), matrix(found["v"].tolist(), width)
         out = []
-        for i, qid in enumerate(qs):
-            own = score[i]
-            if len(xs) > k + 1:  # cut to the k-th best and its ties before sorting
-                bar = np.partition(np.where(xs == qid, np.iinfo(np.int64).min, own), -k)[-k]
-                at = np.flatnonzero((own >= bar) & (xs != qid))
-            else:
-                at = np.flatnonzero(xs != qid)
-            at = at[np.lexsort((xs[at], -own[at]))[:k]]
-            out.append((np.full(len(at), qid), xs[at], own[at]))
+        for at in range(0, len(queries), TILE):
+            qs = queries["id"].to_numpy()[at : at + TILE]
+            score = products(matrix(queries["v"].iloc[at : at + TILE].tolist(), width), x)
+            score[qs[:, None] == xs[None, :]] = np.iinfo(np.int64).min
+            bar = np.partition(score, -k, axis=1)[:, -k] if len(xs) > k else np.full(len(qs), np.iinfo(np.int64).min + 1)
+            # the k-th best and its ties, then in order the first k of each query
+            i, j = np.nonzero(score >= np.maximum(bar, np.iinfo(np.int64).min + 1)[:, None])
+            own = score[i, j]
+            order = np.lexsort((xs[j], -own, i))
+            i, j, own = i[order], j[order], own[order]
+            first = np.searchsorted(i, i)
+            kept = np.arange(len(i)) - first < k
+            out.append((qs[i[kept]], xs[j[kept]], own[kept]))
         a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
         return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
 

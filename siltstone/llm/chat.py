@@ -24,24 +24,22 @@ CHUNK = 256
 def placed(turns: DataFrame) -> DataFrame:
     """``turns(conv_id, turn, role, ..)`` with ``pos``, its place in the conversation from 1.
 
-    Order is by turn (nulls first), then by all other columns. A chunk of
+    Order is by turn (nulls first), then by role and text. A chunk of
     turn numbers is ordered by one task, and the chunks' counts are added
     up, so that no conversation needs one task for all its turns.
     """
-    rest = [c for c in turns.columns if c not in ("conv_id", "turn")]
     rows = turns.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 62))))
     counts = rows.groupBy("conv_id", "chunk").count()
     before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("conv_id", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("conv_id", "chunk").orderBy("turn", *rest)
+    inside = Window.partitionBy("conv_id", "chunk").orderBy("turn", "role", "text")
     return rows.withColumn("pos", F.row_number().over(inside)).join(counts, ["conv_id", "chunk"]).withColumn("pos", F.col("pos") + F.col("base")).drop("base", "chunk")
 
 
-def prefixes(turns: DataFrame) -> DataFrame:
-    """``turns(conv_id, turn, role, text)`` to ``(conv_id, pos, n, h1, h2)``: the hash of every turn prefix, n turns in all."""
-    thin = turns.select("conv_id", "turn", F.xxhash64(F.lit(1), "role", "text").alias("a"), F.xxhash64(F.lit(2), "text", "role").alias("b"))
-    rows = placed(thin).select("conv_id", "pos", F.xxhash64("pos", "a").alias("a"), F.xxhash64("b", "pos").alias("b"))
-    rows = written(rows.withColumn("part", F.floor((F.col("pos") - 1) / CHUNK)), "turns")
+def prefixes(rows: DataFrame) -> DataFrame:
+    """``rows(conv_id, pos, role, text)`` to ``(conv_id, pos, n, h1, h2)``: the hash of every turn prefix, n turns in all."""
+    a, b = F.xxhash64(F.lit(1), "role", "text"), F.xxhash64(F.lit(2), "text", "role")
+    rows = rows.select("conv_id", "pos", F.xxhash64("pos", a).alias("a"), F.xxhash64(b, "pos").alias("b"), F.floor((F.col("pos") - 1) / CHUNK).alias("part"))
     sums = rows.groupBy("conv_id", "part").agg(F.bit_xor("a").alias("a0"), F.bit_xor("b").alias("b0"), F.count("*").alias("k"))
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("conv_id")
@@ -62,9 +60,9 @@ def cleaned(turns: DataFrame) -> DataFrame:
     return turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role, text).distinct()
 
 
-def maximal(turns: DataFrame) -> DataFrame:
-    """``(conv_id, turns, copies)``: conversations that are no prefix of a longer one; of equal ones the smallest id, and how many there are."""
-    rolled = written(prefixes(cleaned(turns)), "prefixes")
+def maximal(rows: DataFrame) -> DataFrame:
+    """``rows(conv_id, pos, role, text)`` to ``(conv_id, turns, copies)``: conversations that are no prefix of a longer one; of equal ones the smallest id, and how many there are."""
+    rolled = written(prefixes(rows), "prefixes")
     ends = rolled.where("pos = n").groupBy("n", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
     proper = rolled.where("pos < n").select(F.col("pos").alias("n"), "h1", "h2").distinct()
     return ends.join(proper, ["n", "h1", "h2"], "left_anti").select("conv_id", F.col("n").alias("turns"), "copies")
@@ -80,8 +78,9 @@ def render(turns: DataFrame) -> DataFrame:
     role and text; rows without a conv_id belong to none and go. An empty
     table gives no rows; other columns are not read.
     """
-    kept = written(maximal(turns), "maximal")
-    rows = placed(cleaned(turns).join(kept.select("conv_id"), "conv_id", "left_semi"))
+    rows = written(placed(cleaned(turns)), "turns")
+    kept = written(maximal(rows), "maximal")
+    rows = rows.join(kept.select("conv_id"), "conv_id", "left_semi")
     guarded = [F.regexp_replace(F.regexp_replace(F.col(c), r"<\|", "< |"), r"\|>", "| >") for c in ("role", "text")]
     line = F.concat(F.lit("<|"), guarded[0], F.lit("|>\n"), guarded[1], F.lit("\n<|end|>\n"))
     parts = rows.select("conv_id", F.floor((F.col("pos") - 1) / CHUNK).alias("part"), "pos", line.alias("line"))

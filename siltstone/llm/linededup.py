@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import batches_of, ready, spread
+from siltstone.llm.common import batches_of, fresh, ready, spread
 from siltstone.llm.components import components
 from siltstone.session import written
 
@@ -285,21 +285,25 @@ def has_text(column: str) -> Column:
 
 
 def split_lines(docs: DataFrame, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, line_no, h, kind, line)``: a row for each line, from 0; a null text has none."""
-    lines = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode_outer(F.split("text", "\\n", -1)).alias("line_no", "line"))
+    """``docs(doc_id, text)`` to ``(doc_id, row, line_no, h, kind, line)``: a row for each line, from 0; a null text has none. ``row`` is the text's hash."""
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+    lines = texts.select("doc_id", "row", F.posexplode_outer(F.split("text", "\\n", -1)).alias("line_no", "line"))
     spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
     near = (F.length("line") >= least_chars) | (spaces + 1 >= least_words)
     kind = F.when(~has_text("line"), BLANK).when(near, NEAR).otherwise(EQUAL)
-    return lines.select("doc_id", "line_no", F.xxhash64("line").alias("h"), kind.alias("kind"), "line")
+    return lines.select("doc_id", "row", "line_no", F.xxhash64("line").alias("h"), kind.alias("kind"), "line")
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
-    """All lines ``(doc_id, line_no, h, kind)``, and ``(h, class_id)`` of the lines with near-equal others."""
+    """All lines ``(doc_id, row, line_no, h, kind)``, and ``(h, class_id)`` of the lines with near-equal others.
+
+    Null texts have no lines; an empty table gives two empty ones.
+    """
     spark = docs.sparkSession
     ready(spark)
     near = F.col("kind") == NEAR
     split = lambda df: split_lines(df, least_words, least_chars)
-    lines = written(split(docs).select("doc_id", "line_no", "h", "kind"), "lines")
+    lines = written(split(docs).select("doc_id", "row", "line_no", "h", "kind"), "lines")
     texts = split(docs).where(near).select("h", "line")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     some = split(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0)).where(near)
@@ -329,6 +333,19 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least_words: int = LEAST_W
     return lines, labels.select(F.col("node").alias("h"), F.col("root").alias("class_id"))
 
 
+def judged(docs: DataFrame, edits: int, least_words: int, least_chars: int) -> DataFrame:
+    """All lines ``(doc_id, row, line_no, class_id, first_doc_id, first_line_no, keep)``."""
+    lines, labels = line_classes(docs, edits, least_words, least_chars)
+    named = lines.where(F.col("kind") != BLANK).join(labels, "h", "left").select("doc_id", "row", "line_no", F.coalesce("class_id", "h").alias("class_id"))
+    repeated = named.groupBy("class_id").count().where("count > 1").select("class_id")
+    place = F.struct("doc_id", "row", "line_no")
+    first = named.join(repeated, "class_id", "left_semi").groupBy("class_id").agg(F.min(place).alias("first"))
+    told = named.join(first, "class_id", "left").withColumn("first", F.coalesce("first", place))
+    blank = lines.where(F.col("kind") == BLANK).select("doc_id", "row", "line_no", F.col("h").alias("class_id"), place.alias("first"))
+    told = told.unionByName(blank).withColumn("keep", F.col("first") == place)
+    return told.select("doc_id", "row", "line_no", "class_id", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), F.coalesce("keep", F.lit(False)).alias("keep"))
+
+
 def line_dedup(docs: DataFrame, edits: int = EDITS, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``docs(doc_id, text)`` to (doc_id, line_no, class_id, first_doc_id, first_line_no, keep): a row for each line.
 
@@ -336,19 +353,13 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, least_words: int = LEAST_WOR
     and those linked by at most ``edits`` edits, for which a line needs
     ``least_words`` words or ``least_chars`` characters. A line of white
     space is its own class and always stays. Of a class the line of the
-    smallest (doc_id, line_no) stays. Null texts have no lines; an empty
-    text has one empty line; lines of a null doc_id come first. An empty
-    table gives no rows; other columns are not read. Equal lines are told
-    by a 64-bit hash.
+    smallest doc_id stays, nulls first; of texts that share an id the one
+    with the smaller hash comes first, and rows equal in id and text are
+    one document: their lines have one fate. Null texts have no lines; an
+    empty text has one empty line. An empty table gives no rows; other
+    columns are not read. Equal lines are told by a 64-bit hash.
     """
-    lines, labels = line_classes(docs, edits, least_words, least_chars)
-    named = lines.where(F.col("kind") != BLANK).join(labels, "h", "left").select("doc_id", "line_no", F.coalesce("class_id", "h").alias("class_id"))
-    first = named.groupBy("class_id").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNull()).alias("null_id"))
-    first = first.select("class_id", F.when(~F.col("null_id"), F.col("doc_id")).alias("first_doc_id"))
-    at = named.join(first, "class_id").where(F.col("doc_id").eqNullSafe(F.col("first_doc_id"))).groupBy("class_id").agg(F.min("line_no").alias("first_line_no"))
-    told = named.join(first.join(at, "class_id"), "class_id").select("doc_id", "line_no", "class_id", "first_doc_id", "first_line_no")
-    blank = lines.where(F.col("kind") == BLANK).select("doc_id", "line_no", F.col("h").alias("class_id"), F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"))
-    return told.unionByName(blank).withColumn("keep", F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no")))
+    return judged(docs, edits, least_words, least_chars).drop("row")
 
 
 def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -357,14 +368,22 @@ def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, least_words: int =
     n_chars, where there is such a column, is set to the new length. A
     document that loses lines and has nothing but white space left goes; it is the
     first of no class, as blank lines join none. One that loses no line
-    stays as it is, as does a null text.
+    stays as it is, as does a null or empty text. Of rows equal in doc_id
+    and text one stays; rows that share an id alone, or have none, are
+    told apart by their texts. An empty table gives no rows.
     """
-    gone = line_dedup(docs, edits, least_words, least_chars).where(~F.col("keep")).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
-    out = docs.join(gone, "doc_id", "left")
-    rest = F.array_join(F.filter(F.split("text", "\\n", -1), lambda line, i: ~F.array_contains("__gone", i)), "\n")
-    out = out.withColumn("__text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest))
-    out = out.where(F.col("text").isNull() | F.col("__gone").isNull() | has_text("__text"))
-    columns = {c: F.col(c) for c in docs.columns} | {"text": F.col("__text")}
+    doc_id, row, gone, text = (fresh(docs.columns, x) for x in ("id__", "row__", "gone__", "text__"))
+    dropped = judged(docs, edits, least_words, least_chars).where(~F.col("keep"))
+    dropped = dropped.groupBy(F.col("doc_id").alias(doc_id), F.col("row").alias(row)).agg(F.collect_set("line_no").alias(gone))
+    of, own = F.col("doc_id").cast("long"), F.xxhash64("text")
+    again = docs.where("text is not null").groupBy(of.alias(doc_id), own.alias(row)).count().where("count > 1").select(doc_id, row)
+    same = of.eqNullSafe(F.col(doc_id)) & (own == F.col(row))
+    twice = docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    out = docs.join(again, same, "left_anti").unionByName(twice).join(dropped, same, "left")
+    rest = F.array_join(F.filter(F.split("text", "\\n", -1), lambda line, i: ~F.array_contains(gone, i)), "\n")
+    out = out.withColumn(text, F.when(F.col(gone).isNull(), F.col("text")).otherwise(rest))
+    out = out.where(F.col("text").isNull() | F.col(gone).isNull() | has_text(text))
+    columns = {c: F.col(c) for c in docs.columns} | {"text": F.col(text)}
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast(docs.schema["n_chars"].dataType))
+        columns["n_chars"] = F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(*(v.alias(c) for c, v in columns.items()))

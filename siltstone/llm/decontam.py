@@ -100,52 +100,85 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return written(found.join(need, "item_id"), "items")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs(doc_id, text)`` against ``benchmark(item_id, text)``: (doc_id, item_id, windows, slots) of each leaked item.
+def rows_of(docs: DataFrame) -> DataFrame:
+    """``(doc_id, row, text)``, ``row`` being the text's hash, which tells rows of one id apart; null texts go."""
+    return docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text")
 
-    ``windows`` counts the item's windows that stand in the document
-    without a clash or verbatim, ``slots`` the most slots of one of them. Null
-    texts match nothing, nor do items without a word; repeated rows with one doc_id count as one
-    document; null ids are kept apart by no one and match as one document
-    without id. Empty tables give no rows; other columns are not read.
-    """
+
+def same_row(left: DataFrame, right: DataFrame) -> Column:
+    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["row"] == right["row"])
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``(doc_id, row, item_id, windows, slots)``: as ``matches``, for each text."""
     items = item_windows(benchmark.select("item_id", "text"), window)
     few = items.count() <= SENT
     side = lambda df: F.broadcast(df) if few else df  # noqa: E731  beyond, a shuffled join
-    words = docs.where("text is not null").select("doc_id", template(tokens(F.col("text"))).alias("plain"))
-    hashed = words.select("doc_id", F.transform(places(F.col("plain"), window), lambda i: F.xxhash64(F.slice("plain", i + 1, window))).alias("hashes"))
+    words = rows_of(docs).select("doc_id", "row", template(tokens(F.col("text"))).alias("plain"))
+    hashed = words.select("doc_id", "row", F.transform(places(F.col("plain"), window), lambda i: F.xxhash64(F.slice("plain", i + 1, window))).alias("hashes"))
     # the outer form: for the inner one a filter on the array is inferred, and hashing would run twice
-    spots = hashed.select("doc_id", F.posexplode_outer("hashes").alias("at", "w")).where("w is not null")
-    columns = ["doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "at", "item_at", "item_slots", "length", "need", "need_all"]
+    spots = hashed.select("doc_id", "row", F.posexplode_outer("hashes").alias("at", "w")).where("w is not null")
+    columns = ["doc_id", "row", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "at", "item_at", "item_slots", "length", "need", "need_all"]
     hits = spots.join(side(items.where("length is null")), "w").select(*columns)
     lengths = sorted(r["length"] for r in items.where("length is not null").select("length").distinct().collect())  # a window's at most
     if lengths:
-        bare = docs.where("text is not null").select("doc_id", literal(tokens(F.col("text"))).alias("bare"))
-        spots = bare.select("doc_id", F.concat(*(runs(F.col("bare"), n) for n in lengths)).alias("runs")).select("doc_id", F.explode_outer("runs").alias("r")).where("r is not null").select("doc_id", "r.at", "r.w")
+        bare = rows_of(docs).select("doc_id", "row", literal(tokens(F.col("text"))).alias("bare"))
+        spots = bare.select("doc_id", "row", F.concat(*(runs(F.col("bare"), n) for n in lengths)).alias("runs"))
+        spots = spots.select("doc_id", "row", F.explode_outer("runs").alias("r")).where("r is not null").select("doc_id", "row", "r.at", "r.w")
         hits = hits.unionByName(spots.join(side(items.where("length is not null")), "w").select(*columns))
     hits = written(hits, "hits")
-    slotted = hits.where(F.size("item_slots") > 0)
-    bad = clashes(docs, slotted, window)
-    good = hits.join(bad, ["doc_id", "item_id", "diagonal", "item_at"], "left_anti")
+    bad = clashes(docs, hits.where(F.size("item_slots") > 0), window)
+    at = ["item_id", "diagonal", "item_at"]
+    good = hits.join(bad, same_row(hits, bad) & _all_equal(hits, bad, at), "left_anti")
     plain = F.when(F.col("length").isNull(), F.col("item_at"))
-    found = good.groupBy("doc_id", "item_id").agg(F.countDistinct(plain).alias("plain"), F.countDistinct("item_at").alias("windows"), F.max("need").alias("need"), F.max("need_all").alias("need_all"), F.max(F.size("item_slots")).alias("slots"))
-    return found.where("(need > 0 and plain >= need) or windows >= need_all").select("doc_id", "item_id", "windows", "slots")
+    found = good.groupBy("doc_id", "row", "item_id").agg(F.countDistinct(plain).alias("plain"), F.countDistinct("item_at").alias("windows"), F.max("need").alias("need"), F.max("need_all").alias("need_all"), F.max(F.size("item_slots")).alias("slots"))
+    return found.where("(need > 0 and plain >= need) or windows >= need_all").select("doc_id", "row", "item_id", "windows", "slots")
+
+
+def _all_equal(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
+    """Whether these columns, which may be null, are the same on both sides."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & left[c].eqNullSafe(right[c])
+    return out
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs(doc_id, text)`` against ``benchmark(item_id, text)``: (doc_id, item_id, windows, slots) of each leaked item.
+
+    ``windows`` counts the item's windows that stand in the document
+    without a clash or verbatim, ``slots`` the most slots of one of them.
+    Null texts match nothing, nor do items without a word. Each text is
+    matched by itself; of rows that share an id, or have none, the most
+    windows and slots are given, once for each item. Empty tables give no
+    rows; other columns are not read.
+    """
+    return leaks(docs, benchmark, window).groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.max("slots").alias("slots"))
 
 
 def clashes(docs: DataFrame, slotted: DataFrame, window: int) -> DataFrame:
-    """The windows (doc_id, item_id, diagonal, item_at) with a value of the item for which two of the document stand in the instance, but for verbatim ones."""
-    asked = docs.where("text is not null").join(slotted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", tokens(F.col("text")).alias("words"))
-    wanted = slotted.select("doc_id", "at").distinct().groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
-    values = asked.join(wanted, "doc_id").select("doc_id", "words", F.explode("ats").alias("at")).select("doc_id", "at", slots(F.col("words"), F.col("at"), window).alias("doc_slots"))
-    instance = ["doc_id", "item_id", "diagonal"]
+    """The windows (doc_id, row, item_id, diagonal, item_at) with a value of the item for which two of the document stand in the instance, but for verbatim ones."""
+    rows = rows_of(docs)
+    wanted = slotted.select("doc_id", "row", "at").distinct().groupBy("doc_id", "row").agg(F.collect_set("at").alias("ats"))
+    asked = rows.join(wanted, same_row(rows, wanted)).select(rows["doc_id"], rows["row"], "text", "ats").dropDuplicates(["doc_id", "row"]).select("doc_id", "row", tokens(F.col("text")).alias("words"), "ats")
+    values = asked.select("doc_id", "row", "words", F.explode("ats").alias("at")).select("doc_id", "row", "at", slots(F.col("words"), F.col("at"), window).alias("doc_slots"))
+    instance = ["doc_id", "row", "item_id", "diagonal"]
     same = F.col("item_slots") == F.col("doc_slots")
-    pairs = slotted.join(values, ["doc_id", "at"]).select(*instance, "item_at", same.alias("same"), F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("p"))
+    joined = slotted.join(values, same_row(slotted, values) & (slotted["at"] == values["at"]))
+    pairs = joined.select(*(slotted[c] for c in instance), "item_at", same.alias("same"), F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("p"))
     pairs = written(pairs.select(*instance, "item_at", "same", F.col("p.item_slots").alias("x"), F.col("p.doc_slots").alias("y")), "slots")
     two = pairs.groupBy(*instance, "x").agg(F.min("y").alias("least"), F.max("y").alias("most")).where("least <> most").select(*instance, "x")
-    return pairs.join(two, [*instance, "x"], "left_semi").groupBy(*instance, "item_at").agg(F.max("same").alias("same")).where("not same").drop("same")
+    held = pairs.join(two, _all_equal(pairs, two, [*instance, "x"]), "left_semi")
+    return held.groupBy(*instance, "item_at").agg(F.max("same").alias("same")).where("not same").drop("same")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Documents in which no item leaked, with all their columns; rows with a null id stay."""
-    leaked = matches(docs, benchmark, window).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(docs.columns)
+    """Documents in which no item leaked, with all their columns.
+
+    Each row is judged by its own text, whatever its id; null and empty
+    texts stay, rows that repeat stay or go together, and an empty
+    benchmark leaves all. An empty table gives no rows.
+    """
+    leaked = leaks(docs.select("doc_id", "text"), benchmark, window).select("doc_id", "row").distinct()
+    own = docs["doc_id"].eqNullSafe(leaked["doc_id"]) & (F.xxhash64(docs["text"]) == leaked["row"])
+    return docs.join(leaked, own, "left_anti").select(docs.columns)

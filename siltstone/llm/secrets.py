@@ -1,11 +1,13 @@
 """Secret scan: pattern candidates, and a random forest that removes false positives, in DataFrame operations alone.
 
-A candidate is a run of at least 16 key characters with a digit or mixed
-case. Its features are length, shares of character classes, transitions
-between classes, dictionary coverage, the look of a path or address, and
-the words around it. The forest is Spark's own, fitted on labelled
-findings; where none are given, on a set built here by rule, as no table
-of labelled findings comes with the data.
+A candidate is a run of at least 16 key characters with a digit, mixed
+case, capitals alone or 20 small letters, or a value of any characters
+that is assigned to a secret's name. Its features are length, shares of
+character classes, transitions between classes, dictionary coverage, the
+look of a path or address, and the words around it. Every place of a
+candidate is scored, and the highest counts. The forest is Spark's own,
+fitted on labelled findings; where none are given, on a set built here by
+rule, as no table of labelled findings comes with the data.
 """
 
 from __future__ import annotations
@@ -16,48 +18,64 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of a candidate at least, and of text looked at before and after it.
-LEAST, BEFORE, AFTER = 16, 48, 16
+from siltstone.llm.common import fresh
+
+#: Characters of a run and of an assigned value at least, and of text looked at before and after it; runs whose lengths are added up at a time.
+LEAST, LEAST_VALUE, BEFORE, AFTER, BLOCK = 16, 6, 48, 16, 128
 THRESHOLD = 0.5
-_RUN = rf"(?<![A-Za-z0-9+/_=.\-])[A-Za-z0-9+/_=.\-]{{{LEAST},}}"
+_NAMES = r"(?i:passw|pwd|secret|token|api[_-]?key|credential|auth)"
+#: A value assigned to a secret's name; the first, short look back spares the second nearly everywhere.
+_VALUE = rf"(?<=[:=]\s{{0,2}}[\"'`]?)(?<={_NAMES}[A-Za-z0-9_]{{0,12}}[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"'`]?)(?![\"'`])[^\s\"'`<>]{{{LEAST_VALUE},}}"
+_RUN = rf"(?<![A-Za-z0-9+/_.\-])[A-Za-z0-9+/_.\-]{{{LEAST},}}"
+_CANDIDATE = f"{_VALUE}|{_RUN}"
+_LIKELY = "[0-9]|[a-z][A-Z]|^[A-Z]+$|[a-z]{20}"
 # Words that often stand in identifiers, paths and addresses.
 DICTIONARY = (
-    "access account action active address admin agent alpha amount analysis android api apache app archive array article asset async "
-    "audio author backup base batch beta binary block blog body book bool branch browser buffer build button cache call card cart "
-    "case catalog category chain change channel chart check child class client cloud code color column comment commit common company "
-    "component config connect console contact container content context control core count country create current custom data database "
-    "date default delete demo design detail device dialog digest document domain download driver editor element email enable endpoint "
-    "engine entity entry error event example export factory feature field file filter final find first folder font form format frame "
-    "function game gateway group handler header help history home host http image import index info input install instance int item java "
-    "json key label language last layer layout level library license link list loader local log login mail main manager map master media "
-    "member memory menu message method mobile model module name native network node note number object office online option order output"
+    "access account action address admin agent amount android api app archive array auth backup batch book buffer build button cache call catalog "
+    "change check child class client cloud code column comment company config connect content context control count create custom data date "
+    "default delete detail device document domain download element email endpoint engine entry error event example export factory field file "
+    "filter first form function group handler header help home host http image import index info input install item job key label language last "
+    "layout level library link list load local log main manager map market media member memory menu message method model module name network node "
+    "note number object online parent parser part password path pattern payment policy print private process profile project proxy query queue "
+    "range read record register release remote report request reset resource response result return root route sample search secret section "
+    "select server service session setting shop source state system table target team template test text token type update upload url user util "
+    "value version view web word"
 ).split()
 
+# Syllables that words are made of which are no secrets.
+SYLLABLES = "re qui red op tion al ne ces sa ry un known mis sing val ue en ab led num ber ver bose schaft ung lich keit ment ble ique eau dor mi to na lu par don".split()
+
+
+def runs(text: Column) -> Column:
+    """All candidates of a text as structs (candidate, position, before, after), in order; one pass over the text."""
+    found, between = F.regexp_extract_all(text, F.lit(_CANDIDATE), F.lit(0)), F.split(text, _CANDIDATE, -1)
+    return F.transform(F.array(F.struct(found.alias("found"), between.alias("between"))), lambda x: _placed(x["found"], x["between"]))[0]
+
+
+def _placed(found: Column, between: Column) -> Column:
+    none = F.lit("")
+    at = lambda a, i: F.coalesce(F.get(a, i), none)
+    lengths = F.zip_with(between, found, lambda x, y: F.coalesce(F.length(x), F.lit(0)) + F.coalesce(F.length(y), F.lit(0)))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+    sums = F.transform(F.sequence(F.lit(0), F.floor(F.size(found) / BLOCK).cast("int")), lambda b: total(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
+    cut = F.transform(found, lambda r, i: F.struct(F.rtrim(r, F.lit(".=,;)")).alias("candidate"), r.alias("whole"), i.alias("i")))
+    likely = F.filter(cut, lambda f: (F.length(f["candidate"]) >= LEAST_VALUE) & (f["candidate"].rlike(_LIKELY) | (F.length(f["candidate"]) < LEAST) | f["candidate"].rlike(r"[^A-Za-z0-9+/_.\-]")))
+
+    def place(f: Column) -> Column:
+        i = f["i"]
+        block = F.floor(i / BLOCK).cast("int")
+        position = total(F.slice(sums, F.lit(1), block)) + total(F.slice(lengths, block * BLOCK + 1, i - block * BLOCK)) + F.length(at(between, i)) + 1
+        before = F.concat(F.right(at(found, F.greatest(i - 1, F.lit(0))), F.when(i > 0, F.lit(BEFORE)).otherwise(F.lit(0))), at(between, i))
+        after = F.concat(F.substr(f["whole"], F.length(f["candidate"]) + 1), at(between, i + 1), F.left(at(found, i + 1), F.lit(AFTER)))
+        return F.struct(f["candidate"].alias("candidate"), position.alias("position"), F.right(before, F.lit(BEFORE)).alias("before"), F.left(after, F.lit(AFTER)).alias("after"))
+
+    return F.transform(likely, place)
+
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, position, candidate, before, after, occurrences)``: each distinct candidate of a text, at its first place."""
-    text = F.col("text")
-    runs = F.regexp_extract_all(text, F.lit(_RUN), F.lit(0))
-    likely = F.array_distinct(F.filter(F.transform(runs, lambda r: F.rtrim(r, F.lit(".="))), lambda r: (F.length(r) >= LEAST) & r.rlike("[0-9]|[a-z][A-Z]|^[A-Z]+$")))
-    found = F.transform(
-        likely,
-        lambda r: F.struct(
-            r.alias("candidate"),
-            F.position(r, text).alias("position"),
-            ((F.length(text) - F.length(F.replace(text, r, F.lit("")))) / F.length(r)).cast("long").alias("occurrences"),
-        ),
-    )
-    rows = docs.select("doc_id", "text", found.alias("found"))
-    one = rows.select("doc_id", F.explode_outer(F.transform("found", lambda f: F.struct(f["candidate"].alias("candidate"), f["position"].alias("position"), f["occurrences"].alias("occurrences"), context(f, -1).alias("before"), context(f, 1).alias("after")))).alias("f"))
-    return one.where("f is not null").select("doc_id", "f.*")
-
-
-def context(found: Column, side: int) -> Column:
-    text, at, n = F.col("text"), found["position"], F.length(found["candidate"])
-    if side < 0:
-        first = F.greatest(F.lit(1), at - BEFORE)
-        return F.substr(text, first, at - first)
-    return F.substr(text, at + n, F.lit(AFTER))
+    """``docs(doc_id, text)`` to ``(doc_id, row, text_hash, candidate, position, before, after)``: each place of each candidate; ``row`` tells rows apart."""
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("text_hash"), runs(F.col("text")).alias("found"))
+    return rows.select("doc_id", "row", "text_hash", F.explode_outer("found").alias("f")).where("f is not null").select("doc_id", "row", "text_hash", "f.*")
 
 
 def features() -> dict[str, Column]:
@@ -82,6 +100,7 @@ def features() -> dict[str, Column]:
         "slashes": number(count("/")),
         "points": number(count(r"\.")),
         "dashes": number(count("[-_]")),
+        "symbols": count(r"[^A-Za-z0-9+/_.\-]") / n,
         "file": number(c.rlike(r"(?i)\.(com|org|net|html?|js|css|py|java|png|jpe?g|gif|svg|md|txt|json|xml|zip)$")),
         "known": number(c.rlike("^(AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|sk_test_|sk-|eyJ|AIza|glpat-)")),
         "address": number(before.rlike(r"(?i)(://|www\.|@|href)\S*$")),
@@ -124,12 +143,32 @@ def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
         (F.concat(words("u", "."), F.lit("1.example.com")), pick("pb", "info@", "host ", "www.", *plain), F.lit(" "), 0),
     ]
     ids = spark.range(each)
+    short = ("password = \"", "passwd: '", "pwd=", "secret: \"", "token = '", "api_key=\"", "DB_PASSWORD=")
+    mark = lambda salt: pick(salt, "!", "@", "#", "$", "%", "&", "*", "-", "?", "+")
+    number_of = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("string")
+    spoken = lambda salt, n: F.concat(*(pick(f"{salt}{k}", *SYLLABLES) for k in range(n)))
+    small = lambda salt, n: F.substr(F.translate(F.concat(h(salt), h(salt + "'")), "0123456789", "ghklmqrtwz"), F.lit(1), F.lit(n))
+    kinds += [
+        (F.concat(pick("w1", *DICTIONARY), number_of("w2", 1000), mark("w3"), small("w4", 2)), pick("nb", *short), F.lit('" '), 1),
+        (F.concat(F.initcap(small("x1", 3)), mark("x2"), letters("x3", 5), mark("x4"), number_of("x5", 10000)), pick("nc", *short), F.lit("'\n"), 1),
+        (letters("y", 10), pick("nd", *short), F.lit('"'), 1),
+        (small("z", 24), pick("ne", *names), F.lit('" '), 1),
+        (words("v", "_"), pick("pc", *short), F.lit('" '), 0),
+        (pick("va", *DICTIONARY[::3]), pick("pd", *short), F.lit(" "), 0),
+        (F.concat(pick("vb", *DICTIONARY[1::3]), F.lit("("), pick("vc", *DICTIONARY[::5]), F.lit(")")), pick("pe", *short), F.lit("\n"), 0),
+        (F.concat(words("vd", ""), pick("ve", *DICTIONARY[2::3])), pick("pf", *plain), F.lit(" "), 0),
+        (spoken("g", 3), pick("pg", *short, "password: ", "token = ", "the secret: "), F.lit(" "), 0),
+        (spoken("h", 4), pick("ph", *short, "password: ", "auth = ", "credential: "), F.lit(", "), 0),
+        (F.concat(spoken("i", 3), F.lit("("), spoken("i'", 2)), pick("pi", "auth = ", "token = ", "secret: "), F.lit(")\n"), 0),
+        (F.initcap(spoken("j", 10)), pick("pj", *plain), F.lit(" "), 0),
+        (spoken("k", 9), pick("pk", *plain, "token = ", "secret: "), F.lit(" "), 0),
+    ]
     out = None
     for k, (c, before, after, label) in enumerate(kinds):
         c = F.regexp_replace(c, " ", "")
         rows = ids.withColumn("id", F.col("id") * 97 + k).select(c.alias("candidate"), F.concat(F.lit("some words before it, "), before).alias("before"), after.alias("after"), F.lit(float(label)).alias("label"))
         out = rows if out is None else out.unionByName(rows)
-    return out.where(F.length("candidate") >= LEAST)
+    return out.where(F.length("candidate") >= LEAST_VALUE)
 
 
 def fit(findings: DataFrame, trees: int = 24, depth: int = 8) -> RandomForestClassificationModel:
@@ -140,26 +179,41 @@ def fit(findings: DataFrame, trees: int = 24, depth: int = 8) -> RandomForestCla
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11, featureSubsetStrategy="sqrt").fit(rows)
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None) -> DataFrame:
-    """``docs(doc_id, text)`` to (doc_id, position, length, occurrences, candidate, probability, is_secret): every candidate.
-
-    ``position`` counts characters from 1 and is the first place of the
-    candidate in the text, ``occurrences`` all of them. Texts that are
-    null, empty or without a candidate give no row; rows that repeat give
-    their findings again; other columns are not read.
-    """
+def scanned(docs: DataFrame, model: RandomForestClassificationModel | None = None) -> DataFrame:
+    """Every candidate of every row, at the likeliest of its places."""
     model = model or fit(labelled_findings(docs.sparkSession))
     made = features()
-    rows = candidates(docs.select("doc_id", "text")).select("doc_id", "position", "occurrences", "candidate", *(v.alias(k) for k, v in made.items()))
+    rows = candidates(docs.select("doc_id", "text")).select("doc_id", "row", "text_hash", "position", "candidate", *(v.alias(k) for k, v in made.items()))
     rows = VectorAssembler(inputCols=list(made), outputCol="features", handleInvalid="keep").transform(rows)
-    p = vector_to_array("probability")[1]
-    scored = model.transform(rows).select("doc_id", F.col("position").cast("long").alias("position"), F.length("candidate").cast("long").alias("length"), "occurrences", "candidate", F.round(p, 6).alias("probability"))
-    return scored.withColumn("is_secret", F.col("probability") >= THRESHOLD)
+    p = F.round(vector_to_array("probability")[1], 6)
+    places = model.transform(rows).select("doc_id", "row", "text_hash", "candidate", F.col("position").cast("long").alias("position"), p.alias("probability"))
+    best = F.max(F.struct("probability", (-F.col("position")).alias("back")))
+    found = places.groupBy("row", "doc_id", "text_hash", "candidate").agg(best.alias("best"), F.count("*").alias("occurrences"))
+    found = found.select("doc_id", "text_hash", (-F.col("best.back")).alias("position"), F.length("candidate").cast("long").alias("length"), "occurrences", "candidate", F.col("best.probability").alias("probability"))
+    return found.withColumn("is_secret", F.col("probability") >= THRESHOLD)
+
+
+def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None) -> DataFrame:
+    """``docs(doc_id, text)`` to (doc_id, position, length, occurrences, candidate, probability, is_secret): every candidate of every row.
+
+    ``position`` counts characters from 1 and is the candidate's place of
+    the highest probability, the first of equals; ``occurrences`` counts
+    its places. Texts that are null, empty or without a candidate give no
+    row; rows that repeat give their findings again, null ids among them;
+    an empty table gives none; other columns are not read.
+    """
+    return scanned(docs, model).drop("text_hash")
 
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None) -> DataFrame:
-    """Documents with every secret replaced by ``[SECRET]``, with all their columns; those without one are unchanged."""
-    found = scan(docs, model).where("is_secret").groupBy("doc_id").agg(F.collect_set("candidate").alias("__secrets"))
-    text = F.aggregate(F.coalesce("__secrets", F.array().cast("array<string>")), F.col("text"), lambda t, s: F.replace(t, s, F.lit("[SECRET]")))
-    out = docs.join(found, "doc_id", "left").withColumn("__text", text)
-    return out.select(*(F.col("__text").alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    """Documents with every secret replaced by ``[SECRET]``, with all their columns.
+
+    Rows are told apart by id and text, so repeated and null ids are
+    handled by their own texts; those without a secret, and null texts,
+    are unchanged. An empty table gives no rows.
+    """
+    doc_id, own, secrets = (fresh(docs.columns, x) for x in ("id__", "row__", "secrets__"))
+    found = scanned(docs, model).where("is_secret").groupBy(F.col("doc_id").alias(doc_id), F.col("text_hash").alias(own)).agg(F.array_sort(F.collect_set("candidate"), lambda a, b: F.length(b) - F.length(a)).alias(secrets))
+    text = F.aggregate(F.coalesce(secrets, F.array().cast("array<string>")), F.col("text"), lambda t, s: F.replace(t, s, F.lit("[SECRET]")))
+    out = docs.join(found, F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.xxhash64("text") == F.col(own)), "left")
+    return out.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns))

@@ -1,6 +1,7 @@
 """The operators against brute force, on small tables with nulls, empty and long texts, ties, repeats, no rows and clashing columns."""
 
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -143,14 +144,32 @@ def test_what_is_left_of_a_document_stays(spark):
     assert {r["doc_id"]: r["text"] for r in kept} == {1: shared, 2: f"only here\n{other}", 3: "its own words", 5: " \n"}
 
 
+def test_line_dedup_of_repeated_and_null_ids(spark):
+    a, b = prose(70, 20), prose(71, 20)
+    rows = [(1, f"{a}\none", 0), (1, f"two\n{b}", 1), (1, f"two\n{b}", 2), (2, f"{b}\nthree", 3), (None, f"{a}\nfour", 4), (None, f"five\n{a}", 5), (None, None, 6), (3, "", 7), (3, "", 8)]
+    names = "id__ long, row__ string, GONE__ long, text__ long, __gone long, __text string"
+    docs = spark.createDataFrame([(*x, 0, "r", 0, 0, 0, "t") for x in rows], f"doc_id long, text string, place long, {names}")
+    kept = linededup.drop_repeated_lines(docs)
+    assert kept.columns == docs.columns
+    got = [(r["place"], r["text"]) for r in kept.collect()]
+    # of the null rows the text with the smaller hash comes first and keeps the shared line
+    assert {x for x in got if x[0] in (0, 3, 6)} == {(0, "one"), (3, "three"), (6, None)}
+    assert [x[1] for x in got if x[0] in (1, 2)] == [f"two\n{b}"] and len([x for x in got if x[0] in (7, 8)]) == 1
+    assert sorted(x for x in got if x[0] in (4, 5)) in ([(4, f"{a}\nfour"), (5, "five")], [(4, "four"), (5, f"five\n{a}")])
+    lines = linededup.line_dedup(docs).collect()
+    assert len(lines) == 14 and all(r["keep"] for r in lines if r["class_id"] not in {x["class_id"] for x in lines if not x["keep"]})
+
+
 def test_decontamination(spark, docs):
     item = "A train leaves Paris at 7 km and 30 minutes before the other train that Anna takes to reach the small town by the river"
     other = "A train leaves Paris at 9 km and 45 minutes before the other train that Maria takes to reach the small town by the river"
-    broken = item.replace("30 minutes", "7 minutes")
-    benchmark = spark.createDataFrame([(1, item, "z"), (2, None, "z"), (3, "too short", "z")], "item_id long, text string, doc_id string")
-    extra = spark.createDataFrame([(i, t, "en", "s", 3, "x", "y", 1.0) for i, t in ((200, "so then. " + item + " and on"), (201, other), (202, broken))], docs.schema)
+    twice = "Tom had 3 apples and 3 pears in his basket"
+    benchmark = spark.createDataFrame([(1, item, "z"), (2, None, "z"), (3, "too short", "z"), (4, twice, "z")], "item_id long, text string, doc_id string")
+    # a value of the item that is two values in the document is no instance; two values that become one are
+    clash, joined = twice.replace("3 apples", "4 apples").replace("3 pears", "5 pears"), item.replace("30 minutes", "7 minutes")
+    extra = spark.createDataFrame([(i, t, "en", "s", 3, "x", "y", 1.0) for i, t in ((200, "so then. " + item + " and on"), (201, other), (202, clash), (203, joined), (204, twice.replace("3", "8")))], docs.schema)
     got = {(r["doc_id"], r["item_id"]) for r in decontam.matches(docs.unionByName(extra), benchmark).collect()}
-    assert {(200, 1), (201, 1)} <= got and (202, 1) not in got and len(got) == 2
+    assert got == {(200, 1), (201, 1), (203, 1), (204, 4)}
     assert decontam.keep_clean(docs.unionByName(extra), benchmark).columns == docs.columns
     assert decontam.matches(empty(spark), benchmark).count() == 0
     assert decontam.matches(docs, benchmark.limit(0)).count() == 0
@@ -173,6 +192,59 @@ def test_decontamination_of_short_and_number_heavy_items(spark):
     assert got == {(1, 1), (2, 2), (3, 3)}
 
 
+def test_decontamination_of_repeated_and_null_ids(spark):
+    item = "Tom had 3 apples and 5 pears in his basket when the farmer asked him to share them all with Anna"
+    leak, clash = item.replace("3", "8").replace("5", "9"), "Tom had 3 apples and 3 pears in his basket"
+    benchmark = spark.createDataFrame([(1, item), (2, clash)], "item_id long, text string")
+    other = clash.replace("3 apples", "4 apples")
+    rows = [(1, leak, 0), (1, "Tom had 7 apples and 2 pears and then some more words that say nothing", 1), (None, leak, 2), (None, other, 3), (None, None, 4), (2, other, 5), (2, other, 6), (3, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.matches(docs, benchmark).collect()} == {(1, 1), (None, 1)}
+    assert {r["row"] for r in decontam.keep_clean(docs, benchmark).collect()} == {1, 3, 4, 5, 6, 7}
+
+
+def test_decontamination_against_brute_force(spark):
+    """Short items of plain words and numbers, whose windows and clashes can be counted by hand."""
+    r = random.Random(12)
+    words = ["ox", "elk", "cow", "hen"]
+
+    def text(n):
+        return " ".join(str(r.randint(1, 3)) if r.random() < 0.3 else r.choice(words) for _ in range(n))
+
+    items = [(k, text(r.randint(8, 14))) for k in range(25)]
+    docs = []
+    for k in range(60):
+        x = r.choice(items)[1].split()
+        x = [str(int(w) % 3 + 1) if w.isdigit() and r.random() < 0.4 else w for w in x]
+        docs.append((k, " ".join(["so"] * r.randint(0, 3) + x + text(r.randint(0, 6)).split())))
+
+    def windows(w):
+        return range(max(0, len(w) - 7))
+
+    def is_match(item, doc):
+        slot = lambda w: w.isdigit()
+        plain = lambda w: ["#" if slot(x) else x for x in w]
+        few = [i for i in windows(item) if sum(map(slot, item[i : i + 8])) <= 4]
+        many = [i for i in windows(item) if i not in few]
+        hits = {(j - i, i) for i in few for j in windows(doc) if plain(item[i : i + 8]) == plain(doc[j : j + 8])}
+        good = set()
+        for d in {d for d, _ in hits}:
+            own = [i for e, i in hits if e == d]
+            found = {}
+            for i in own:
+                for a, b in zip(item[i : i + 8], doc[i + d : i + d + 8], strict=True):
+                    if slot(a):
+                        found.setdefault(a, set()).add(b)
+            bad = {a for a, b in found.items() if len(b) > 1}
+            good |= {i for i in own if item[i : i + 8] == doc[i + d : i + d + 8] or not bad & set(item[i : i + 8])}
+        heavy = {i for i in many for j in windows(doc) if item[i : i + 8] == doc[j : j + 8]}
+        return (few and len(good) >= min(6, len(few))) or len(good | heavy) >= min(6, len(few) + len(many))
+
+    expected = {(k, i) for k, d in docs for i, x in items if is_match(x.split(), d.split())}
+    got = decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == expected and len(expected) > 30
+
+
 def test_language(spark):
     sets = {"aa": "la lo le li lu ra ro", "bb": "zik zak zok tik tak", "cc": "mum nun mim non"}
     r = random.Random(1)
@@ -184,8 +256,36 @@ def test_language(spark):
     assert [got[k]["lang_pred"] for k in (900, 901, 902, 903)] == ["und", "und", "und", "aa"]
     assert all(0 <= x["score"] <= 1 for x in got.values())
     assert langid.identify(df.limit(0)).count() == 0
-    clash = df.withColumn("score", df.doc_id).withColumn("lang_pred", df.lang)
-    assert langid.keep_identified(clash).columns == clash.columns
+    clash = df.withColumn("score", df.doc_id).withColumn("lang_pred", df.lang).withColumn("__text", df.lang).withColumn("Lang_Pred_", df.lang).withColumn("text_", df.lang)
+    kept = langid.keep_identified(clash)
+    assert kept.columns == clash.columns and {x["doc_id"] for x in kept.collect()} == {*range(180), 903}
+
+
+def test_held_out_languages_and_other_columns_change_nothing(spark):
+    sets = {"aa": "la lo le li lu ra ro", "bb": "zik zak zok tik tak", "cc": "mum nun mim non"}
+    r = random.Random(3)
+    rows = [(k, " ".join(r.choice(sets[lang].split()) for _ in range(20)), lang, "s") for k, lang in enumerate(sorted(sets) * 30)]
+    out = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    told = lambda rows: sorted(map(tuple, langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()))
+    first = told(rows)
+    assert first == told([(k, t, "cc" if out(k) else lang, f"other{k}") for k, t, lang, _ in rows])
+    assert {x[0] for x in first if x[1]} == {k for k in range(90) if out(k)}
+
+
+def test_every_language_is_learnt(spark):
+    r = random.Random(5)
+    names = [f"l{k:03d}" for k in range(100)]
+    words = {n: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(8)] for n in names}
+    rows = [(k, " ".join(r.choice(words[n]) for _ in range(40)), n) for k, n in enumerate(names * 6)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=100).collect()
+    assert len({x["lang_pred"] for x in got}) == 100
+    assert sum(x["lang_pred"] == rows[x["doc_id"]][2] for x in got) >= 590
+    assert langid.bits_for(4) == 15 and langid.bits_for(1000) == 12 and langid.bits_for(10**6) == langid.LEAST_BITS
+
+
+def test_counts_are_not_clipped():
+    found = langid.counts("ab" * 200_000)
+    assert found.max() > 199_000 and langid.counts("ab" * 200_000, 10).sum() == found.sum()
 
 
 def test_segments_are_maximal():
@@ -233,6 +333,41 @@ def test_top_k(spark):
     assert voronoi.top_k(spark.createDataFrame([(50, [1.0]), (3, [2.0])], df.schema)).collect() == [(50, 1, 3, 131072)]
 
 
+def test_top_k_of_repeated_ids(spark, caplog):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=6).round(2).tolist()) for k in range(1, 400)]
+    rows += [(100, rows[99][1])] * 9 + [(50, rows[49][1])] * 7 + [(7, rng.normal(size=6).tolist()) for _ in range(5)]
+    whole = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows]
+    got = voronoi.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), pivots=12).collect()
+    for q in range(50, 400, 50):
+        vector = next(v for i, v in whole if i == q)
+        best = sorted((-int(vector @ x), i) for i, x in whole if i != q)[:5]
+        assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(i, -s) for s, i in best]
+
+
+def test_groups_out_of_reach_are_not_searched(spark, caplog):
+    rng = np.random.default_rng(6)
+    rows = [(k, (np.eye(8)[k % 8] * 50 + rng.normal(size=8)).tolist()) for k in range(2000)]
+    with caplog.at_level("INFO", logger=voronoi.__name__):
+        got = voronoi.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), pivots=16).collect()
+    kept, pairs = (int(x) for x in __import__("re").findall(r"\d+", caplog.records[-1].getMessage())[:2])
+    assert len(got) == 200 and kept < pairs / 3
+
+
+def test_chat_orders_ties_by_role_and_text(spark):
+    r = random.Random(7)
+    rows, expected = [], {}
+    for k in range(20):
+        turns = [(t, r.choice(["user", "assistant"]), f"{k} {t} {j} {r.random()}") for t in range(4) for j in range(3)]
+        rows += [(2 * k, *x) for x in turns] + [(2 * k + 1, *x) for x in turns if x[0] < 3]
+        expected[2 * k] = [x[2] for x in sorted(turns)]
+        # a snapshot cut inside the tied turns is a prefix only in the order of role and text
+        rows += [(1000 + k, *x) for x in sorted(turns)[:8]]
+    r.shuffle(rows)
+    got = chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {x["conv_id"]: [y.split("\n")[1] for y in x["rendered"].split("\n<|end|>\n")[:-1]] for x in got} == expected
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (4, 0, "user", None), (4, None, "system", "<|x|>"), (5, 0, "user", "a"), (5, 0, "user", "a"), (None, 0, "user", "a")]
     rows += [(6, k, "user", str(k)) for k in range(600)] + [(7, k, "user", str(k)) for k in range(590)]
@@ -250,3 +385,54 @@ def test_secrets(spark):
     got = secrets.scan(spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, candidate string")).collect()
     assert {(r["doc_id"], r["is_secret"], r["occurrences"]) for r in got if r["candidate"] == key} == {(1, True, 1), (2, False, 1), (6, True, 2)}
     assert not any(r["is_secret"] for r in got if r["doc_id"] == 5)
+
+
+def test_every_place_of_a_secret_counts(spark):
+    key = "f33e9a0c51d24b7786aa10c2d4e5f6a7"
+    rows = [(1, f"commit {key} is in. password = \"{key}\""), (2, 'password = "hunter2!x" then'), (3, "secret: 'p@ss#W0rd!2024xyz'"), (4, "token = 'qzkvmwtrplhgzxqkvbnwtrml'"), (5, f"export API_KEY={key}"), (6, "the password: required here"), (7, "Donaudampfschifffahrtsgesellschaft faehrt"), (None, f"access_token={key}"), (None, "clean")]
+    docs = spark.createDataFrame([(*x, "a", "b", "c", "d") for x in rows], "doc_id long, text string, id__ string, row__ string, secrets__ string, __secrets string")
+    got = {(r["doc_id"], r["candidate"]): r for r in secrets.scan(docs).collect()}
+    assert got[(1, key)]["is_secret"] and got[(1, key)]["occurrences"] == 2 and got[(1, key)]["position"] == rows[0][1].rindex(key) + 1
+    for i, c in ((2, "hunter2!x"), (3, "p@ss#W0rd!2024xyz"), (4, "qzkvmwtrplhgzxqkvbnwtrml"), (5, key), (None, key)):
+        assert (i, c) in got and got[(i, c)]["is_secret"], (i, c)
+        assert got[(i, c)]["position"] == next(t for k, t in rows if k == i).index(c) + 1
+    assert not any(r["is_secret"] for (i, _), r in got.items() if i in (6, 7))
+    redacted = secrets.redact(docs)
+    assert redacted.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in redacted.collect()) == sorted((i or 0, t.replace(key, "[SECRET]").replace("hunter2!x", "[SECRET]").replace("p@ss#W0rd!2024xyz", "[SECRET]").replace("qzkvmwtrplhgzxqkvbnwtrml", "[SECRET]")) for i, t in rows)
+    assert secrets.scan(docs.limit(0)).count() == 0 and secrets.redact(docs.limit(0)).count() == 0
+
+
+def test_candidates_against_a_plain_scan(spark):
+    import re
+
+    r = random.Random(11)
+    bits = ["word ", "a" * 15, "Ab1" * 6, "token='x!y?z9w'", "key = ", " ", "\n", ".", "=", "/usr/lib/x86_64/", "QQQQQQQQQQQQQQQQQ", "é", "password: ", "\"", "abc123" * 4]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 25))) for _ in range(200)] + ["Ab1" * 6 + " "] * 1 + [" ".join(f"id{k:020d}" for k in range(400))]
+    names = r"(?:[Pp]assw|pwd|secret|token|api[_-]?key|credential|auth)"
+
+    def plain(text):
+        out, at = [], 0
+        while at < len(text):
+            head = text[:at]
+            m = re.match(r"[^\s\"'`<>]{6,}", text[at:])
+            if m and re.search(names + r"[A-Za-z0-9_]{0,12}[\"']?\s{0,2}[:=]\s{0,2}[\"'`]?\Z", head) and re.search(r"[:=]\s{0,2}[\"'`]?\Z", head):
+                out.append((m.group(), at))
+                at += m.end()
+                continue
+            m = re.match(r"[A-Za-z0-9+/_.\-]{16,}", text[at:])
+            if m and not re.search(r"[A-Za-z0-9+/_.\-]\Z", head):
+                out.append((m.group(), at))
+                at += m.end()
+                continue
+            at += 1
+        found = [(c.rstrip(".=,;)"), k) for c, k in out]
+        return {(c, k + 1) for c, k in found if len(c) >= 6 and (re.search("[0-9]|[a-z][A-Z]|^[A-Z]+$|[a-z]{20}", c) or len(c) < 16 or re.search(r"[^A-Za-z0-9+/_.\-]", c))}
+
+    rows = secrets.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {}
+    for x in rows:
+        got.setdefault(x["doc_id"], set()).add((x["candidate"], x["position"]))
+        t = texts[x["doc_id"]]
+        assert t[: x["position"] - 1].endswith(x["before"]) and t[x["position"] - 1 + len(x["candidate"]) :].startswith(x["after"])
+    assert {k: got.get(k, set()) for k in range(len(texts))} == {k: plain(t) for k, t in enumerate(texts)}

@@ -22,11 +22,12 @@ def plain_language(docs):
 
 
 def plain_lines(docs):
-    lines = [(i, k, x) for i in sorted(docs) for k, x in enumerate(docs[i].split("\n")) if x.count(" ") >= 9]
+    lines = [(i, k, x) for i in sorted(docs) for k, x in enumerate(docs[i].split("\n")) if re.search(r"\S", x)]
     seen, group = {}, {}
-    for _, _, x in lines:
-        seen.setdefault(len(x), set()).add(x)
-    root = {x: x for own in seen.values() for x in own}
+    root = {x: x for _, _, x in lines}
+    for x in root:
+        if x.count(" ") >= 9 or len(x) >= 40:  # shorter lines join equal ones alone
+            seen.setdefault(len(x), set()).add(x)
 
     def find(x):
         while root[x] != x:
@@ -45,7 +46,7 @@ def plain_lines(docs):
     out = {}
     for i, t in docs.items():
         rest = [x for k, x in enumerate(t.split("\n")) if (i, k) not in gone]
-        if len(rest) == t.count("\n") + 1 or len("\n".join(rest).strip(" ")) > 0.2 * len(t):
+        if len(rest) == t.count("\n") + 1 or re.search(r"\S", "\n".join(rest)):
             out[i] = "\n".join(rest)
     return out
 

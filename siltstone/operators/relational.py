@@ -7,10 +7,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def first_wins(df: DataFrame, key: list[str], order: list[str | Column]) -> DataFrame:
-    """The first row of each key in a stated order."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in ascending order; an aggregate, so a hot key shrinks in every task before it meets."""
+    rest = [c for c in df.columns if c not in key and c not in order]
+    return df.groupBy(*key).agg(F.min(F.struct(*order, *rest)).alias("__first")).select(*key, "__first.*").select(df.columns)
+
+
+def prefix(df: DataFrame, groups: list[str], order: list[str | Column], bucket: Column, value: Column, into: str, total: str | None = None) -> DataFrame:
+    """``into``: the sum of ``value`` over the rows of the group before each row; ``total``: over all of the group.
+
+    In two levels, so that no task orders a whole group: ``bucket`` is a
+    number that rises with the order; sums of whole buckets are added up
+    first, then rows inside their bucket.
+    """
+    rows = df.withColumn("__bucket", bucket).withColumn("__value", value)
+    sums = rows.groupBy(*groups, "__bucket").agg(F.sum("__value").alias("__sum"))
+    every = Window.partitionBy(*groups)
+    base = F.coalesce(F.sum("__sum").over(every.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    keys = [*groups, "__bucket"]
+    sums = sums.select(*(F.col(k).alias(f"__of_{k}") for k in keys), base.alias("__base"), F.sum("__sum").over(every).alias("__total"))
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__inside", F.coalesce(F.sum("__value").over(inside), F.lit(0)))
+    same = F.lit(True)
+    for k in keys:
+        same = same & rows[k].eqNullSafe(sums[f"__of_{k}"])
+    extra = [F.col("__total").alias(total)] if total else []
+    return rows.join(sums, same).select(*df.columns, (F.col("__base") + F.col("__inside")).alias(into), *extra)
+
+
+def by_value(column: str, width: int = 65536) -> Column:
+    """Buckets of a number that rows are ordered by."""
+    return F.floor(F.col(column) / width)
+
+
+def by_digits(column: str, digits: int = 4) -> Column:
+    """Buckets of a string of hex digits that rows are ordered by."""
+    return F.conv(F.substring(column, 1, digits), 16, 10).cast("long")
 
 
 def bottom_k(df: DataFrame, groups: list[str], order: list[str | Column], k: int | Column) -> DataFrame:

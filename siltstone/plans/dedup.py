@@ -28,9 +28,10 @@ WITH d AS (SELECT *, row_number() OVER (PARTITION BY sha256(lower({collapse('tex
 SELECT lang, count(*) AS n_docs, sum(CASE WHEN rn = 1 THEN 1 ELSE 0 END)::BIGINT AS n_kept FROM d GROUP BY lang
 """)
 def dedup_exact(t: Tables) -> DataFrame:
-    w = Window.partitionBy(T.fingerprint("text")).orderBy("doc_id")
-    d = t.documents.select("lang", "doc_id", F.row_number().over(w).alias("rn"))
-    return d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.when(F.col("rn") == 1, 1).otherwise(0)).alias("n_kept"))
+    """Copies of one language shrink to a row in every task before they meet."""
+    g = t.documents.groupBy(T.fingerprint("text").alias("h"), "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    g = g.withColumn("kept", F.col("first") == F.min("first").over(Window.partitionBy("h")))
+    return g.groupBy("lang").agg(F.sum("n").alias("n_docs"), F.count_if("kept").alias("n_kept"))
 
 
 def _chats(t: Tables) -> DataFrame:
@@ -56,8 +57,8 @@ FROM c
 """)
 def dedup_ledger(t: Tables) -> DataFrame:
     c = _chats(t).select("conv_id", F.sha2("body", 256).alias("fp"))
-    kept = F.min("conv_id").over(Window.partitionBy("fp"))
-    return c.select("conv_id", kept.alias("kept_id")).withColumn("reason", F.when(F.col("conv_id") == F.col("kept_id"), "kept").otherwise("duplicate"))
+    kept = c.groupBy("fp").agg(F.min("conv_id").alias("kept_id"))
+    return c.join(kept, "fp").select("conv_id", "kept_id").withColumn("reason", F.when(F.col("conv_id") == F.col("kept_id"), "kept").otherwise("duplicate"))
 
 
 @query(f"""
@@ -97,11 +98,11 @@ def component_pairs(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH w AS (SELECT DISTINCT sha256(substr(text, 1, 200)) AS h, source FROM documents WHERE length(text) >= 200)
+WITH w AS (SELECT DISTINCT sha256(text) AS h, source FROM documents WHERE length(text) >= 200)
 SELECT h, count(*) AS n_sources, string_agg(source, ',' ORDER BY source) AS sources FROM w GROUP BY h HAVING count(*) > 1
 """)
 def source_overlap(t: Tables) -> DataFrame:
-    w = t.documents.where(F.length("text") >= 200).select(F.sha2(F.substring("text", 1, 200), 256).alias("h"), "source").distinct()
+    w = t.documents.where(F.length("text") >= 200).select(F.sha2("text", 256).alias("h"), "source").distinct()
     return w.groupBy("h").agg(F.count("*").alias("n_sources"), F.array_join(F.array_sort(F.collect_list("source")), ",").alias("sources")).where("n_sources > 1")
 
 
@@ -125,11 +126,13 @@ FROM f GROUP BY 1, 2
 """)
 def incremental_screen(t: Tables) -> DataFrame:
     held = t.benchmark.select(T.fingerprint("text").alias("h")).distinct().withColumn("held", F.lit(True))
-    w = Window.partitionBy("h").orderBy("source", "doc_id")
-    f = t.documents.select("doc_id", "source", T.fingerprint("text").alias("h"))
-    f = f.withColumn("fs", F.first("source").over(w)).withColumn("rn", F.row_number().over(w)).join(held, "h", "left")
-    reason = F.when(F.col("held"), "held_out").when(F.col("rn") == 1, "retained").when(F.col("fs") == F.col("source"), "repeat").otherwise("already_retained")
-    return f.groupBy("source", reason.alias("reason")).agg(F.count("*").alias("n"))
+    # one row for each text and source: of the first source one copy is retained and the others repeat it
+    f = t.documents.groupBy(T.fingerprint("text").alias("h"), "source").agg(F.count("*").alias("n"))
+    f = f.withColumn("first", F.row_number().over(Window.partitionBy("h").orderBy("source")) == 1).join(held, "h", "left")
+    counted = lambda name, n: F.struct(F.lit(name).alias("reason"), n.cast("long").alias("k"))
+    n = F.col("n")
+    reasons = F.when(F.col("held"), F.array(counted("held_out", n))).when(F.col("first"), F.array(counted("retained", F.lit(1)), counted("repeat", n - 1))).otherwise(F.array(counted("already_retained", n)))
+    return f.select("source", F.inline(reasons)).where("k > 0").groupBy("source", "reason").agg(F.sum("k").alias("n"))
 
 
 CONTEXT = """(SELECT conv_id, turn, role, text,
@@ -150,7 +153,13 @@ SELECT conv_id, turn, c IN (SELECT c FROM h) AS context_hit, p IN (SELECT p FROM
 """)
 def context_overlap(t: Tables) -> DataFrame:
     """Conversations of every fifth id stand in for a held-out set; the others are looked up in it."""
-    a = _contexts(t).where("role = 'assistant' and turn > 0").select("conv_id", "turn", F.sha2("context", 256).alias("c"), F.sha2(F.concat("before", F.lit("\u0001"), "text"), 256).alias("p"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    place = F.row_number().over(w)
+    turns = t.conversations.select("conv_id", "turn", "role", "text", F.lag("text").over(w).alias("before"), place.alias("place"))
+    # a context is told by a rolling hash of its turns and their places, so no turn carries its history
+    prior = w.rowsBetween(Window.unboundedPreceding, -1)
+    rolled = F.struct((F.col("place") - 1).alias("n"), *(F.coalesce(F.bit_xor(F.xxhash64(F.lit(k), "place", "role", "text")).over(prior), F.lit(0)).alias(f"h{k}") for k in (1, 2)))
+    a = turns.select("conv_id", "turn", "role", rolled.alias("c"), F.sha2(F.concat("before", F.lit("\u0001"), "text"), 256).alias("p")).where("role = 'assistant' and turn > 0")
     held = a.where("conv_id % 5 = 0")
     c = held.select("c").distinct().withColumn("context_hit", F.lit(True))
     p = held.select("p").where("p is not null").distinct().withColumn("pair_hit", F.lit(True))
@@ -180,7 +189,12 @@ def decontam_exact_join(t: Tables) -> DataFrame:
     """Distinct runs of eight words that a document shares with a benchmark item."""
     b = t.benchmark.select("item_id", F.explode_outer(T.ngrams(T.words("text"), 8)).alias("g")).where("g is not null").select("item_id", F.xxhash64("g").alias("h"), "g")
     words = t.documents.select("doc_id", T.words("text").alias("w"))
-    d = words.select("doc_id", T.ngrams(F.col("w"), 8).alias("gs")).select("doc_id", F.explode_outer("gs").alias("g")).where("g is not null")
+    # hashes of runs alone find the documents; the runs themselves are made of those only
+    starts = F.when(F.size("w") >= 8, F.sequence(F.lit(1), F.size("w") - 7)).otherwise(F.array().cast("array<int>"))
+    marks = t.benchmark.select(T.words("text").alias("w")).select(F.explode_outer(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, 8)))).alias("m")).where("m is not null").distinct()
+    spots = words.select("doc_id", F.explode_outer(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, 8)))).alias("m")).where("m is not null")
+    asked = words.join(spots.join(marks, "m", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi")
+    d = asked.select("doc_id", F.explode_outer(T.ngrams(F.col("w"), 8)).alias("g")).where("g is not null")
     return d.withColumn("h", F.xxhash64("g")).join(b, ["h", "g"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions import text as T
+from siltstone.operators import relational as R
 from siltstone.registry import Tables, query
 
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
@@ -51,7 +52,7 @@ SELECT doc_id, pass FROM o WHERE cum - n_chars < 500000
 def token_target_select(t: Tables) -> DataFrame:
     """Passes of ten rows a source until the target; passes are summed before rows are, and only those at the target are opened."""
     r = t.documents.select("source", "doc_id", "n_chars", T.digest(F.lit("pick"), "doc_id").alias("h"))
-    r = r.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("h")) - 1).withColumn("pass", F.floor(F.col("rn") / 10))
+    r = R.prefix(r, ["source"], ["h"], R.by_digits("h"), F.lit(1), "rn").withColumn("pass", F.floor(F.col("rn") / 10))
     sums = r.groupBy("pass").agg(F.sum("n_chars").alias("s"))
     base = sums.select("pass", F.coalesce(F.sum("s").over(Window.orderBy("pass").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")).where("base < 500000")
     inside = F.sum("n_chars").over(Window.partitionBy("pass").orderBy("source", "rn"))
@@ -84,13 +85,13 @@ def repeat_expand(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH w AS (SELECT doc_id, {WORDS}[1:12] AS w FROM documents), s AS (SELECT doc_id, w, len(w) // 3 AS k FROM w)
+WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents), s AS (SELECT doc_id, w, len(w) // 3 AS k FROM w)
 SELECT doc_id, array_to_string(list_transform(w, lambda x: length(x)), ',') AS inputs,
   array_to_string(list_concat(list_transform(range(0, k), lambda i: -100), list_transform(w[k + 1:], lambda x: length(x))), ',') AS labels, array_to_string(range(0, len(w)), ',') AS positions FROM s
 """)
 def prefixlm_arrays(t: Tables) -> DataFrame:
     """Word lengths stand for token ids; the first third is the instruction."""
-    s = t.documents.select("doc_id", F.slice(T.words("text"), 1, 12).alias("w")).withColumn("ids", F.transform("w", lambda x: F.length(x))).withColumn("k", F.floor(F.size("w") / 3).cast("int"))
+    s = t.documents.select("doc_id", T.words("text").alias("w")).withColumn("ids", F.transform("w", lambda x: F.length(x))).withColumn("k", F.floor(F.size("w") / 3).cast("int"))
     labels = F.transform("ids", lambda x, i: F.when(i < F.col("k"), -100).otherwise(x))
     positions = F.transform("ids", lambda x, i: i)
     return s.select("doc_id", *(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(n) for c, n in (("ids", "inputs"), (labels, "labels"), (positions, "positions"))))
@@ -138,8 +139,8 @@ def multipack(t: Tables) -> DataFrame:
         out, at, batch = [], 0, 0
         while at < len(ids):
             found = largest_batch(lengths[at:], 4, 8192)
-            if not found:
-                break  # a partial batch is dropped
+            if not found:  # fewer rows than bins are left: a last batch, a row in each bin
+                found = [[k] for k in range(len(ids) - at)]
             out += [(rows["shard"].iloc[0], batch, b, ids[at + k], lengths[at + k]) for b, own in enumerate(found) for k in own]
             at, batch = at + sum(map(len, found)), batch + 1
         return pd.DataFrame(out, columns=["shard", "batch", "bin", "doc_id", "n"])

@@ -15,7 +15,8 @@ UNIT = "(('0x' || substr(sha256({0}), 1, 15))::BIGINT / 1152921504606846976.0)"
 
 @query("SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS seq FROM customer")
 def row_number_partition(t: Tables) -> DataFrame:
-    return t.customer.select("c_mktsegment", "c_custkey", F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_custkey")).alias("seq"))
+    before = R.prefix(t.customer.select("c_mktsegment", "c_custkey"), ["c_mktsegment"], ["c_custkey"], R.by_value("c_custkey"), F.lit(1), "before")
+    return before.select("c_mktsegment", "c_custkey", (F.col("before") + 1).alias("seq"))
 
 
 @query("SELECT user_id, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY user_id")
@@ -28,8 +29,8 @@ WITH c AS (SELECT doc_id, lang, n_chars, sum(n_chars) OVER (PARTITION BY lang OR
 SELECT lang, count(*) AS n, max(cum)::BIGINT AS total FROM c WHERE cum - n_chars < 100000 GROUP BY lang
 """)
 def token_budget_prefix(t: Tables) -> DataFrame:
-    c = t.documents.select("lang", "n_chars", F.sum("n_chars").over(Window.partitionBy("lang").orderBy("doc_id")).alias("cum"))
-    return c.where(F.col("cum") - F.col("n_chars") < 100000).groupBy("lang").agg(F.count("*").alias("n"), F.max("cum").alias("total"))
+    c = R.prefix(t.documents.select("lang", "doc_id", "n_chars"), ["lang"], ["doc_id"], R.by_value("doc_id"), F.col("n_chars"), "before")
+    return c.where("before < 100000").groupBy("lang").agg(F.count("*").alias("n"), F.max(F.col("before") + F.col("n_chars")).alias("total"))
 
 
 @query("""
@@ -37,8 +38,14 @@ WITH e AS (SELECT event_type, event_id, value, event_id - lag(event_id) OVER (PA
 SELECT event_type, ceil(event_id / 1000.0)::BIGINT AS bucket, count(*) AS n, max(gap) AS max_gap, round(median(gap), 3) AS median_gap, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean FROM e GROUP BY 1, 2
 """)
 def tumbling_window_stats(t: Tables) -> DataFrame:
-    gap = F.col("event_id") - F.lag("event_id").over(Window.partitionBy("event_type").orderBy("event_id"))
-    e = t.events.select("event_type", "value", F.ceil(F.col("event_id") / 1000).alias("bucket"), gap.alias("gap"))
+    """Gaps look back within runs of 65536 ids; a run's first event looks at the last one of the runs before."""
+    rows = t.events.select("event_type", "value", "event_id", F.ceil(F.col("event_id") / 1000).alias("bucket"), R.by_value("event_id").alias("run"))
+    last = rows.groupBy("event_type", "run").agg(F.max("event_id").alias("last"))
+    earlier = F.max("last").over(Window.partitionBy("event_type").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+    last = last.select(F.col("event_type").alias("of"), F.col("run").alias("of_run"), earlier.alias("earlier"))
+    rows = rows.withColumn("before", F.lag("event_id").over(Window.partitionBy("event_type", "run").orderBy("event_id")))
+    rows = rows.join(last, F.col("event_type").eqNullSafe(F.col("of")) & F.col("run").eqNullSafe(F.col("of_run")))
+    e = rows.select("event_type", "value", "bucket", (F.col("event_id") - F.coalesce("before", "earlier")).alias("gap"))
     return e.groupBy("event_type", "bucket").agg(
         F.count("*").alias("n"), F.max("gap").alias("max_gap"), F.round(F.median("gap"), 3).alias("median_gap"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 6).alias("mean")
     )
@@ -91,25 +98,52 @@ def balanced(counts: dict[str, int], target: int) -> dict[str, int]:
     return quota
 
 
-@query(None)
+#: The rule over the counts, round after round, in SQL: what is left is dealt evenly to sources that are not full.
+BALANCED = """
+WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), goal AS (SELECT least(333, sum(n))::BIGINT AS goal FROM c),
+q AS (SELECT source, n, 0::BIGINT AS quota, 0::BIGINT AS round, (SELECT goal FROM goal) AS remaining FROM c
+  UNION ALL
+  SELECT source, n, quota, round, ((SELECT goal FROM goal) - sum(quota) OVER ())::BIGINT FROM (
+    SELECT source, n, round + 1 AS round,
+      least(n, quota + CASE WHEN quota < n THEN remaining // open + (place < remaining % open)::INT ELSE 0 END)::BIGINT AS quota
+    FROM (SELECT *, sum((quota < n)::INT) OVER () AS open, sum((quota < n)::INT) OVER (ORDER BY source) - 1 AS place FROM q WHERE remaining > 0)))
+SELECT d.source, d.doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) d
+JOIN (SELECT source, max(quota) AS quota FROM q GROUP BY source) f ON d.source = f.source WHERE rn <= quota
+"""
+
+
+@query(BALANCED)
 def balanced_quota(t: Tables) -> DataFrame:
     """Quotas from the small table of counts, then the documents of each source up to its quota."""
-    counts = {r["source"]: r["count"] for r in t.documents.groupBy("source").count().collect()}  # a row for each source
-    quota = t.spark.createDataFrame(sorted(balanced(counts, 333).items()), "source string, quota int")
-    ranked = t.documents.select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("rn"))
-    return ranked.join(F.broadcast(quota), "source").where("rn <= quota").select("source", "doc_id")
+    target = 333
+    counts = {r["source"]: r["count"] for r in t.documents.where("source is not null").groupBy("source").count().collect()}  # a row for each source
+    quota = t.spark.createDataFrame(sorted(balanced(counts, target).items()), "source string, quota int")
+    ranked = R.bottom_k(t.documents.select("source", "doc_id"), ["source"], ["doc_id"], target)
+    return ranked.join(F.broadcast(quota), "source").where("rank <= quota").select("source", "doc_id")
 
 
-@query(None)
+@query("""
+WITH c AS (SELECT source, sum(n_chars)::DOUBLE AS capacity FROM documents GROUP BY source),
+s AS (SELECT *, coalesce(sum(capacity) OVER w, 0) AS full_below, sum(sqrt(capacity)) OVER () - coalesce(sum(sqrt(capacity)) OVER w, 0) AS roots, 0.5 * sum(capacity) OVER () AS target
+  FROM c WINDOW w AS (ORDER BY capacity, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT (target - full_below) / roots AS f FROM s WHERE roots > 0 AND (target - full_below) / roots <= sqrt(capacity) ORDER BY capacity, source LIMIT 1)
+SELECT source, capacity, round(least(capacity, f * sqrt(capacity)), 4) AS allocated FROM c CROSS JOIN f
+""")
 def sqrt_waterfill(t: Tables) -> DataFrame:
     """min(cap, f * sqrt(cap)) with the factor f found by bisection over the small table of capacities."""
     caps = {r["source"]: float(r["s"]) for r in t.documents.groupBy("source").agg(F.sum("n_chars").alias("s")).collect()}  # a row for each source
-    target = 0.5 * sum(caps.values())
-    lo, hi = 0.0, max((c**0.5 for c in caps.values()), default=1.0)
-    for _ in range(100):
+    given = allocated(caps, 0.5 * sum(caps.values()))
+    return t.spark.createDataFrame([(k, c, round(given[k], 4)) for k, c in caps.items()], "source string, capacity double, allocated double")
+
+
+def allocated(caps: dict[str, float], target: float, factors: dict[str, float] | None = None) -> dict[str, float]:
+    """Shares by the root of the capacity times a factor (1 unless named), cut at the capacity, that sum to the target."""
+    weight = {k: (factors or {}).get(k, 1.0) * c**0.5 for k, c in caps.items()}
+    lo, hi = 0.0, max((c / weight[k] for k, c in caps.items() if weight[k]), default=1.0)
+    for _ in range(200):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if sum(min(c, mid * c**0.5) for c in caps.values()) < target else (lo, mid)
-    return t.spark.createDataFrame([(k, c, min(c, hi * c**0.5)) for k, c in sorted(caps.items())], "source string, capacity double, allocated double")
+        lo, hi = (mid, hi) if sum(min(c, mid * weight[k]) for k, c in caps.items()) < target else (lo, mid)
+    return {k: min(c, hi * weight[k]) for k, c in caps.items()}
 
 
 @query("""
@@ -119,8 +153,8 @@ SELECT doc_id, lang FROM r WHERE rn <= ceil(n / 2.0)
 def half_per_stratum(t: Tables) -> DataFrame:
     """The lower half of each stratum's hashes."""
     d = t.documents.select("doc_id", "lang", T.digest(F.lit("half"), "doc_id").alias("h"))
-    r = d.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).withColumn("n", F.count("*").over(Window.partitionBy("lang")))
-    return r.where(F.col("rn") <= F.ceil(F.col("n") / 2)).select("doc_id", "lang")
+    r = R.prefix(d, ["lang"], ["h"], R.by_digits("h"), F.lit(1), "before", "n")
+    return r.where(F.col("before") < F.ceil(F.col("n") / 2)).select("doc_id", "lang")
 
 
 @query("""
@@ -143,8 +177,8 @@ SELECT source, doc_id FROM r JOIN q USING (source) WHERE rn <= quota
 """)
 def stratified_hash_sample(t: Tables) -> DataFrame:
     d = t.documents.select("source", "doc_id", T.digest(F.lit("strata"), "doc_id").alias("h"))
-    quota = F.floor((F.count("*").over(Window.partitionBy("source")) + 9) / 10)
-    return d.withColumn("quota", quota).withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("h"))).where("rn <= quota").select("source", "doc_id")
+    r = R.prefix(d, ["source"], ["h"], R.by_digits("h"), F.lit(1), "before", "n")
+    return r.where(F.col("before") < F.floor((F.col("n") + 9) / 10)).select("source", "doc_id")
 
 
 @query(f"SELECT doc_id FROM documents WHERE {UNIT.format(chr(39) + 'sample|' + chr(39) + ' || doc_id')} < 0.1")
@@ -216,13 +250,13 @@ WITH s AS (SELECT doc_id % 4 AS shard, doc_id, n_chars FROM documents)
 SELECT shard, doc_id, (sum(n_chars) OVER (ORDER BY shard, doc_id) - n_chars)::BIGINT AS start FROM s
 """)
 def union_all(t: Tables) -> DataFrame:
-    """Shards one after another; pointers move by the shards before, so each shard is summed apart."""
+    """Shards one after another; pointers move by the shards before, and inside a shard by runs of ids."""
     shards = [t.documents.where(F.col("doc_id") % 4 == k).select(F.lit(k).cast("long").alias("shard"), "doc_id", "n_chars") for k in range(4)]
     s = shards[0].unionByName(shards[1]).unionByName(shards[2]).unionByName(shards[3])
     totals = s.groupBy("shard").agg(F.sum("n_chars").alias("total"))
     base = totals.select("shard", F.coalesce(F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = F.coalesce(F.sum("n_chars").over(Window.partitionBy("shard").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return s.withColumn("inside", inside).join(base, "shard").select("shard", "doc_id", (F.col("base") + F.col("inside")).alias("start"))
+    s = R.prefix(s, ["shard"], ["doc_id"], R.by_value("doc_id"), F.col("n_chars"), "inside")
+    return s.join(F.broadcast(base), "shard").select("shard", "doc_id", (F.col("base") + F.col("inside")).alias("start"))  # 4 shards
 
 
 @query("""

@@ -101,13 +101,16 @@ def pareto_skyline(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT n_nationkey, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS k FROM nation), r AS (SELECT r_regionkey, regexp_replace(lower(r_name), '[^a-z0-9]', '', 'g') AS k FROM region)
-SELECT n_nationkey, coalesce(r_regionkey::VARCHAR, 'unmapped') AS region FROM a LEFT JOIN r ON substr(a.k, 1, 1) = substr(r.k, 1, 1)
+WITH a AS (SELECT n_nationkey, regexp_replace(lower(CASE WHEN n_nationkey % 2 = 0 THEN '  ' || upper(n_name) || '!' ELSE n_name || 'x' END), '[^a-z0-9]', '', 'g') AS k FROM nation),
+r AS (SELECT n_regionkey, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS k FROM nation)
+SELECT n_nationkey, coalesce(n_regionkey::VARCHAR, 'unmapped') AS region FROM a LEFT JOIN r USING (k)
 """)
 def normalized_name_join(t: Tables) -> DataFrame:
-    name = lambda c: F.substring(F.regexp_replace(F.lower(c), "[^a-z0-9]", ""), 1, 1).alias("k")
-    a, r = t.nation.select("n_nationkey", name("n_name")), t.region.select("r_regionkey", name("r_name"))
-    return a.join(r, "k", "left").select("n_nationkey", F.coalesce(F.col("r_regionkey").cast("string"), F.lit("unmapped")).alias("region"))
+    """Names spelt otherwise, and names that are none, looked up by their letters and digits in lower case."""
+    name = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "").alias("k")
+    spelt = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("  "), F.upper("n_name"), F.lit("!"))).otherwise(F.concat("n_name", F.lit("x")))
+    a, r = t.nation.select("n_nationkey", name(spelt)), t.nation.select("n_regionkey", name("n_name"))
+    return a.join(r, "k", "left").select("n_nationkey", F.coalesce(F.col("n_regionkey").cast("string"), F.lit("unmapped")).alias("region"))
 
 
 @query("SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars, min(n_chars) AS least, max(n_chars) AS most, sum((text IS NULL)::INT)::BIGINT AS missing FROM documents GROUP BY 1, 2")

@@ -98,7 +98,7 @@ def section_split(t: Tables) -> DataFrame:
     return i.groupBy("doc_id", "section").agg(F.min(F.when(F.col("s") == 1, F.col("line"))).alias("heading"), F.array_join(F.transform(rest, lambda x: x["line"]), "\n").alias("body"))
 
 
-@query(None)
+@query("SELECT event_id, event_type AS name, json(props)::VARCHAR AS arguments FROM events WHERE json_valid(props)")
 def tool_call_parse(t: Tables) -> DataFrame:
     """JSON calls, with the arguments kept open as text."""
     raw = F.concat(F.lit('[{"name":"'), "event_type", F.lit('","arguments":'), "props", F.lit("}]"))
@@ -194,9 +194,15 @@ def chunk_pack(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode_outer(cut("text")).alias("chunk", "body")).where("body is not null")
 
 
-@query(None)
+@query("""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS l, ('0x' || substr(sha256('window|' || doc_id), 1, 15))::BIGINT AS h FROM documents),
+r AS (SELECT doc_id, l[(h % len(l) + 1):] AS l FROM d WHERE len(l) > 0),
+w AS (SELECT doc_id, l, 0 AS k, '' AS body FROM r UNION ALL
+  SELECT doc_id, l, k + 1, CASE WHEN length(body) + length(l[k + 1]) <= 1200 THEN body || l[k + 1] || chr(10) ELSE body END FROM w WHERE k < len(l))
+SELECT doc_id, body FROM w WHERE k = len(l)
+""")
 def passage_window(t: Tables) -> DataFrame:
-    """Lines from a hashed start on, up to 1200 characters."""
+    """Lines from a hashed start on that fit into 1200 characters."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     d = t.documents.select("doc_id", lines.alias("l"), T.hash60(T.digest(F.lit("window"), "doc_id")).alias("h")).where(F.size("l") > 0)
     rest = F.slice("l", (F.col("h") % F.size("l") + 1).cast("int"), F.size("l"))
@@ -210,8 +216,9 @@ def speech_windows(t: Tables) -> DataFrame:
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("turn")
-        pieces = [x for x in packed(rows["text"].tolist(), 2000, 0) if len(x) >= 200]
-        return pd.DataFrame({"conv_id": [rows["conv_id"].iloc[0]] * len(pieces), "k": range(len(pieces)), "body": pieces})
+        pieces = [x for x in packed(rows["text"].dropna().tolist(), 2000, 0) if len(x) >= 200]
+        out = pd.DataFrame({"conv_id": [rows["conv_id"].iloc[0]] * len(pieces), "k": range(len(pieces)), "body": pieces})
+        return out.astype({"conv_id": "int64", "k": "int64", "body": "object"})  # also where no piece is left
 
     return t.conversations.groupBy("conv_id").applyInPandas(pack, "conv_id long, k long, body string")
 
@@ -246,11 +253,15 @@ def span_fill(t: Tables) -> DataFrame:
     return c.select("doc_id", F.concat(F.array_join(F.slice("w", F.lit(1), F.col("k")), " "), F.lit(" <GAP> "), F.array_join(F.slice("w", F.col("k") + 4, F.size("w")), " ")).alias("prompt"), F.array_join(F.slice("w", F.col("k") + 1, F.lit(3)), " ").alias("span"))
 
 
-@query(None)
+@query("""
+WITH n AS (SELECT doc_id, text, list_transform(string_split(text, ' '), lambda x, i: CASE ('0x' || substr(sha256('noise|' || doc_id || '|' || (i - 1)), 1, 15))::BIGINT % 20 WHEN 0 THEN '' WHEN 1 THEN x || ' ' || x ELSE x END) AS w FROM documents)
+SELECT doc_id, array_to_string(list_filter(w, lambda x: x <> ''), ' ') AS corrupted, text AS target FROM n
+""")
 def denoise(t: Tables) -> DataFrame:
     """About a tenth of the words dropped or doubled, chosen by hashes of id and place."""
     w = F.split("text", " ")
-    noisy = F.transform(w, lambda x, i: F.when(F.pmod(F.xxhash64("doc_id", i), F.lit(20)) == 0, "").when(F.pmod(F.xxhash64("doc_id", i), F.lit(20)) == 1, F.concat(x, F.lit(" "), x)).otherwise(x))
+    roll = lambda i: T.hash60(T.digest(F.lit("noise"), "doc_id", i)) % 20
+    noisy = F.transform(w, lambda x, i: F.when(roll(i) == 0, "").when(roll(i) == 1, F.concat(x, F.lit(" "), x)).otherwise(x))
     return t.documents.select("doc_id", F.array_join(F.filter(noisy, lambda x: x != ""), " ").alias("corrupted"), F.col("text").alias("target"))
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions import text as T
 from siltstone.operators import relational as R
+from siltstone.operators import judge
 from siltstone.registry import Tables, query
+from siltstone.session import written
 
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 # Frequent short words of each language.
@@ -51,6 +53,17 @@ def knn_topk(t: Tables) -> DataFrame:
     return R.bottom_k(s, ["query_id"], [F.desc("score"), F.col("vec_id")], 5).select("query_id", "vec_id", "rank")
 
 
+@query("""
+WITH v AS (SELECT doc_id, length(text) BETWEEN 300 AND 20000 AND text NOT LIKE '%password%' AS keep, doc_id % 7 = 0 AS cut FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN cut THEN 'error' ELSE 'done' END AS state, CASE WHEN cut THEN 3 ELSE 1 + (doc_id % 5 = 1)::INT END AS attempts, CASE WHEN NOT cut THEN keep END AS keep FROM v
+""")
+def judge_endpoint(t: Tables) -> DataFrame:
+    """A judge asked about every document, with retries; a stub stands for the model: each seventh answer is cut off, and some first attempts fail."""
+    found = judge.asked(t.documents.where("text is not null").select(F.col("doc_id").alias("key"), F.col("text").alias("prompt")), judge.Stub(), attempts=3, wait=0.0)
+    verdict = F.from_json("answer", "keep boolean")
+    return found.select(F.col("key").alias("doc_id"), "state", "attempts", F.when(F.col("state") == "done", verdict["keep"]).alias("keep"))
+
+
 @query("SELECT lang, count(*) AS n, sum((quality = 1 AND toxic = 0)::INT)::BIGINT AS kept FROM documents JOIN labels USING (doc_id) GROUP BY lang")
 def judge_join(t: Tables) -> DataFrame:
     """The table of labels stands for a judge's verdicts."""
@@ -69,13 +82,13 @@ def udtf_units(t: Tables) -> DataFrame:
 @query(f"""
 WITH tok AS (SELECT doc_id, unnest({WORDS}) AS w FROM documents), tf AS (SELECT doc_id, w, count(*) AS tf FROM tok GROUP BY 1, 2), len AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1),
 df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1), c AS (SELECT count(*) AS docs, avg(n) AS mean FROM len),
-q AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest({WORDS}) AS w FROM benchmark) WHERE length(w) >= 6),
+q AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest({WORDS}) AS w FROM benchmark)),
 s AS (SELECT item_id, doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score FROM q JOIN tf USING (w) JOIN df USING (w) JOIN len USING (doc_id) CROSS JOIN c GROUP BY 1, 2)
 SELECT item_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5
 """)
 def bm25_search(t: Tables) -> DataFrame:
     """Postings only of words that a query holds; lengths and counts over all documents."""
-    q = t.benchmark.select("item_id", F.explode_outer(F.array_distinct(T.words("text"))).alias("w")).where(F.length("w") >= 6)
+    q = t.benchmark.select("item_id", F.explode_outer(F.array_distinct(T.words("text"))).alias("w")).where("w is not null")
     docs = t.documents.select("doc_id", T.words("text").alias("ws"))
     size = docs.select("doc_id", F.size("ws").alias("n")).where("n > 0")
     c = size.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))  # one row
@@ -89,7 +102,7 @@ def bm25_search(t: Tables) -> DataFrame:
 
 
 def _char_grams(name: str, id_: str, where: str = "") -> str:
-    return f"(SELECT {id_}, g, count(*) AS tf FROM (SELECT {id_}, unnest(list_transform(range(1, length(x) - 2), lambda i: substr(x, i, 4))) AS g FROM (SELECT {id_}, lower(substr(text, 1, 400)) AS x FROM {name} {where})) WHERE length(g) = 4 GROUP BY 1, 2)"
+    return f"(SELECT {id_}, g, count(*) AS tf FROM (SELECT {id_}, unnest(list_transform(range(1, length(x) - 2), lambda i: substr(x, i, 4))) AS g FROM (SELECT {id_}, lower(text) AS x FROM {name} {where})) WHERE length(g) = 4 GROUP BY 1, 2)"
 
 
 @query(f"""
@@ -99,14 +112,14 @@ s AS (SELECT item_id, doc_id, round(sum(q.tf * w) / max(norm), 5) AS score FROM
 SELECT item_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 3
 """)
 def char_tfidf_rank(t: Tables) -> DataFrame:
-    """Character 4-grams of the first 400 characters, which are the chunk that is ranked."""
+    """Character 4-grams of whole texts; only those that an item holds meet the items."""
 
     def grams(df: DataFrame, key: str) -> DataFrame:
-        x = df.select(key, F.lower(F.substring("text", 1, 400)).alias("x")).where(F.length("x") >= 4)
+        x = df.select(key, F.lower("text").alias("x")).where(F.length("x") >= 4)
         g = F.transform(F.sequence(F.lit(1), F.length("x") - 3), lambda i: F.substr(F.col("x"), i, F.lit(4)))
         return x.select(key, F.explode_outer(g).alias("g")).groupBy(key, "g").agg(F.count("*").alias("tf"))
 
-    d, q = grams(t.documents, "doc_id"), grams(t.benchmark, "item_id").withColumnRenamed("tf", "qtf")
+    d, q = written(grams(t.documents, "doc_id"), "grams"), grams(t.benchmark, "item_id").withColumnRenamed("tf", "qtf")
     n = d.agg(F.countDistinct("doc_id").alias("n"))  # one row
     df = d.groupBy("g").agg(F.count("*").alias("df"))
     w = d.join(df, "g").crossJoin(F.broadcast(n)).select("doc_id", "g", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
@@ -143,7 +156,15 @@ def sliding_char_windows(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.explode_outer(w).alias("w")).where("w is not null").select("doc_id", "w.*")
 
 
-@query(None)
+@query("""
+WITH RECURSIVE w AS (SELECT doc_id, start, n, row_number() OVER (PARTITION BY doc_id ORDER BY ('0x' || substr(sha256('w|' || doc_id || '|' || start), 1, 15))::BIGINT, start, n) AS k
+  FROM (SELECT doc_id, start, least(3000, length(text) - start) AS n FROM (SELECT doc_id, text, unnest(range(0, length(text), 1800)) AS start FROM documents))),
+c AS (SELECT doc_id, 0::BIGINT AS k, []::BIGINT[] AS s, []::BIGINT[] AS e FROM (SELECT DISTINCT doc_id FROM w) UNION ALL
+  SELECT c.doc_id, w.k, CASE WHEN len(s) < 3 AND NOT hit THEN list_append(s, w.start) ELSE s END, CASE WHEN len(s) < 3 AND NOT hit THEN list_append(e, w.start + w.n) ELSE e END
+  FROM (SELECT c.*, w.k AS next, coalesce(list_bool_or(list_transform(list_zip(c.s, c.e), lambda x: least(x[2], w.start + w.n) - greatest(x[1], w.start) > 1200)), false) AS hit FROM c JOIN w ON w.doc_id = c.doc_id AND w.k = c.k + 1) c
+  JOIN w ON w.doc_id = c.doc_id AND w.k = c.next)
+SELECT doc_id, unnest(s) AS start FROM (SELECT doc_id, arg_max(s, k) AS s FROM c GROUP BY doc_id)
+""")
 def overlap_suppression(t: Tables) -> DataFrame:
     """Windows of a document by hash order; one that shares over 1200 characters with a chosen one is skipped; three at most."""
     w = sliding_char_windows(t).select("doc_id", "start", T.hash60(T.digest(F.lit("w"), "doc_id", "start")).alias("h"), F.length("body").alias("n"))
@@ -153,7 +174,14 @@ def overlap_suppression(t: Tables) -> DataFrame:
     return ranked.select("doc_id", F.explode(chosen).alias("c")).select("doc_id", "c.start")
 
 
-@query(None)
+@query("""
+WITH RECURSIVE l AS (SELECT doc_id, line, n, row_number() OVER (PARTITION BY doc_id ORDER BY line <> 0, n DESC, line) AS k FROM
+  (SELECT doc_id, unnest(range(0, len(x))) AS line, length(unnest(x)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL))),
+s AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, 0::BIGINT AS used, []::BIGINT[] AS held FROM l UNION ALL
+  SELECT s.doc_id, l.k, CASE WHEN line = 0 OR (len(held) < 10 AND used + n <= 1500) THEN used + n ELSE used END, CASE WHEN line = 0 OR (len(held) < 10 AND used + n <= 1500) THEN list_append(held, line) ELSE held END
+  FROM s JOIN l ON l.doc_id = s.doc_id AND l.k = s.k + 1)
+SELECT doc_id, used::INTEGER AS used, unnest(held)::INTEGER AS line FROM (SELECT doc_id, arg_max(used, k) AS used, arg_max(held, k) AS held FROM s GROUP BY doc_id)
+""")
 def evidence_budget(t: Tables) -> DataFrame:
     """Lines of a document by length, taken while 1500 characters last, ten at most; the first line always."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i != 0).alias("later"), (-F.length(x)).alias("k"), i.alias("i"), F.length(x).alias("n")))
@@ -181,11 +209,27 @@ def citation_antijoin(t: Tables) -> DataFrame:
     return links.join(known, "link", "left").groupBy("page_id").agg(F.count("*").alias("links"), F.count_if(F.col("known").isNull()).alias("unknown"))
 
 
-@query("SELECT doc_id, substr(text, 11, 20) = substr(substr(text, 1, 200), 11, 20) AS ok, (length(text) - length(replace(text, substr(text, 11, 20), ''))) // greatest(length(substr(text, 11, 20)), 1) = 1 AS once FROM documents")
+CLAIMS = "(SELECT doc_id, 10 + (doc_id % 3 = 2)::INT AS start, 30 + (doc_id % 3 = 2)::INT AS stop, CASE WHEN doc_id % 3 = 1 THEN upper(substr(text, 11, 20)) ELSE substr(text, 11, 20) END AS excerpt FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"""
+SELECT doc_id, start < stop AND stop <= length(text) AND substr(text, start + 1, stop - start) = excerpt AS ok, excerpt <> '' AND (length(text) - length(replace(text, excerpt, ''))) = length(excerpt) AS once
+FROM {CLAIMS} JOIN documents USING (doc_id)
+""")
 def excerpt_verify(t: Tables) -> DataFrame:
+    """Excerpts as they were delivered, with their offsets, against the kept text of their source: some are true, some altered, some misplaced."""
+    moved = (F.col("doc_id") % 3 == 2).cast("int")
     part = F.substring("text", 11, 20)
-    times = F.floor((F.length("text") - F.length(F.when(part == "", F.col("text")).otherwise(F.replace("text", part, F.lit(""))))) / F.greatest(F.length(part), F.lit(1)))
-    return t.documents.select("doc_id", (part == F.substring(F.substring("text", 1, 200), 11, 20)).alias("ok"), (times == 1).alias("once"))
+    claims = t.documents.where("text is not null").select("doc_id", (moved + 10).alias("start"), (moved + 30).alias("stop"), F.when(F.col("doc_id") % 3 == 1, F.upper(part)).otherwise(part).alias("excerpt"))
+    return verified(claims, t.documents.select("doc_id", "text"))
+
+
+def verified(claims: DataFrame, kept: DataFrame) -> DataFrame:
+    """``claims(doc_id, start, stop, excerpt)`` against ``kept(doc_id, text)``: (doc_id, ok, once)."""
+    size, stop = F.length("text"), F.col("stop")
+    ok = (F.col("start") >= 0) & (F.col("start") < stop) & (stop <= size) & (F.substr(F.col("text"), F.col("start") + 1, stop - F.col("start")) == F.col("excerpt"))
+    gone = size - F.length(F.replace(F.col("text"), F.col("excerpt"), F.lit("")))
+    return claims.join(kept, "doc_id").select("doc_id", ok.alias("ok"), ((F.col("excerpt") != "") & (gone == F.length("excerpt"))).alias("once"))
 
 
 @query(None)
@@ -239,7 +283,8 @@ SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) A
 """)
 def exclusion_chain(t: Tables) -> DataFrame:
     d = t.documents.where("doc_id % 10 <> 3 and source <> 'src7'").select("doc_id", "source", F.sha2("text", 256).alias("h"))
-    return R.first_wins(d, ["h"], ["doc_id"]).select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("seq"))
+    kept = R.first_wins(d, ["h"], ["doc_id"]).select("source", "doc_id")
+    return R.prefix(kept, ["source"], ["doc_id"], R.by_value("doc_id"), F.lit(1), "before").select("source", "doc_id", (F.col("before") + 1).alias("seq"))
 
 
 @query("SELECT CASE WHEN l.doc_id IS NULL THEN 'added' ELSE 'present' END AS state, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
@@ -259,17 +304,43 @@ def breadth_first_select(t: Tables) -> DataFrame:
     return top.orderBy((F.col("rank") > 1).cast("int"), "h").limit(40).select("doc_id", "source")
 
 
-@query(None)
+@query("""
+WITH RECURSIVE r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY sha256('cap|' || doc_id), doc_id) AS rn FROM documents WHERE n_chars > 0),
+o AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY rn, source) AS k FROM r),
+s AS (SELECT 0::BIGINT AS k, 0::BIGINT AS used, NULL::BIGINT AS doc_id UNION ALL
+  SELECT o.k, CASE WHEN used + n_chars <= 100000 THEN used + n_chars ELSE used END, CASE WHEN used + n_chars <= 100000 THEN o.doc_id END FROM s JOIN o ON o.k = s.k + 1)
+SELECT doc_id FROM s WHERE doc_id IS NOT NULL UNION ALL SELECT doc_id FROM documents WHERE n_chars = 0
+""")
 def byte_cap_select(t: Tables) -> DataFrame:
-    """Sources in rounds by hash; an item that would pass the cap is skipped. The 200 first candidates bound the list."""
-    d = t.documents.select("doc_id", "source", "n_chars", T.digest(F.lit("cap"), "doc_id").alias("h"))
-    rows = R.bottom_k(d, ["source"], ["h"], 200).orderBy("rank", "source").limit(200)
-    one = rows.groupBy().agg(F.array_sort(F.collect_list(F.struct("rank", "source", "doc_id", "n_chars"))).alias("xs"))  # 200 rows
-    state = F.aggregate(
-        "xs", F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids")),
-        lambda s, x: F.when(s["used"] + x["n_chars"] <= 100000, F.struct((s["used"] + x["n_chars"]).alias("used"), F.concat(s["ids"], F.array(x["doc_id"])).alias("ids"))).otherwise(s),
-    )
-    return one.select(F.explode(state["ids"]).alias("doc_id"))
+    """Sources in rounds by hash, up to 100,000 characters in all; an item that would pass the cap is skipped, and smaller ones may follow."""
+    d = t.documents.where("n_chars > 0").select("doc_id", "source", "n_chars", T.digest(F.lit("cap"), "doc_id").alias("h"))
+    ranked = R.prefix(d, ["source"], ["h", "doc_id"], R.by_digits("h"), F.lit(1), "rank")
+    taken = capped(written(ranked.select("rank", "source", "doc_id", "n_chars"), "ranked"), ["rank", "source", "doc_id"], "n_chars", 100000)
+    chosen = t.spark.createDataFrame([(r["doc_id"],) for r in taken], "doc_id long")
+    return chosen.unionByName(t.documents.where("n_chars = 0").select("doc_id"))
+
+
+def capped(rows: DataFrame, order: list[str], size: str, cap: int, step: int = 1000) -> list[Row]:
+    """Rows in order while their sizes, all above 0, fit under the cap; those too large are passed over.
+
+    The first ``step`` rows that still fit are looked at, then the next
+    ones after them, so each round takes a row at least and few rounds
+    are needed; no task sees all rows in order.
+    """
+    taken, used, last = [], 0, None
+    while used < cap:
+        left = rows.where(F.col(size) <= cap - used)
+        if last is not None:
+            left = left.where(F.struct(*order) > F.struct(*(F.lit(last[c]).cast(rows.schema[c].dataType).alias(c) for c in order)))
+        found = left.orderBy(*order).limit(step).collect()  # `step` rows
+        for r in found:
+            if used + r[size] <= cap:
+                taken.append(r)
+                used += r[size]
+        if len(found) < step:
+            break
+        last = found[-1]
+    return taken
 
 
 @query("""
@@ -292,13 +363,17 @@ def counter_rate(t: Tables) -> DataFrame:
     return d.groupBy("user_id").agg(F.when(up == F.count("*") - 1, F.round(F.sum("delta"), 4)).alias("strict_total"), F.sum((F.col("delta") < 0).cast("int")).alias("resets"))
 
 
-@query(None)
+@query("""
+WITH RECURSIVE j AS (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+s AS (SELECT DISTINCT o_custkey, 0::BIGINT AS k, [0, 0, 0, 0]::DOUBLE[] AS lanes FROM orders UNION ALL
+  SELECT s.o_custkey, j.k, list_sort(list_concat([lanes[1] + o_totalprice], lanes[2:4])) FROM s JOIN j ON j.o_custkey = s.o_custkey AND j.k = s.k + 1)
+SELECT o_custkey, round(max(lanes[4]), 4) AS makespan FROM s GROUP BY o_custkey
+""")
 def makespan_eta(t: Tables) -> DataFrame:
-    """Jobs of each priority in key order, each onto the least loaded of 4 lanes; the 1000 first of each are simulated."""
-    jobs = R.bottom_k(t.orders.select("o_orderpriority", "o_orderkey", "o_totalprice"), ["o_orderpriority"], ["o_orderkey"], 1000)
-    g = jobs.groupBy("o_orderpriority").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("xs"))
+    """Each customer's orders are a queue of jobs in key order, each onto the least loaded of 4 lanes."""
+    g = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("xs"))
     lanes = F.aggregate("xs", F.array_repeat(F.lit(0.0), 4), lambda a, x: F.array_sort(F.concat(F.array(F.element_at(a, 1) + x["o_totalprice"]), F.slice(a, 2, 3))))
-    return g.select("o_orderpriority", F.array_max(lanes).alias("makespan"))
+    return g.select("o_custkey", F.round(F.array_max(lanes), 4).alias("makespan"))
 
 
 @query("""

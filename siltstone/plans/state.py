@@ -11,19 +11,15 @@ from siltstone.operators.graph import closure, layers
 from siltstone.registry import Tables, query
 from siltstone.streaming.events import counted_by_window, drained
 
-#: Part keys stand for nodes; each node below 1000 hangs on the node at a third of its key.
-EDGES = "(SELECT p_partkey // 3 AS parent, p_partkey AS child FROM part WHERE p_partkey < 1000 AND p_partkey > 0 AND p_partkey // 3 <> p_partkey)"
+#: Part keys stand for nodes; each node hangs on the node at a third of its key.
+EDGES = "(SELECT p_partkey // 3 AS parent, p_partkey AS child FROM part WHERE p_partkey > 0 AND p_partkey // 3 <> p_partkey)"
 
 
-def _all_edges(t: Tables) -> DataFrame:
+def _edges(t: Tables) -> DataFrame:
     parent = F.floor(F.col("p_partkey") / 3)
     return t.part.where("p_partkey > 0").select(parent.alias("parent"), F.col("p_partkey").alias("child")).where("parent <> child")
 
 
-def _edges(t: Tables) -> DataFrame:
-    return _all_edges(t).where("child < 1000")
-
-
 @query(f"""
 WITH RECURSIVE c AS (SELECT parent AS ancestor, child AS node FROM {EDGES} UNION SELECT c.ancestor, e.child FROM c JOIN {EDGES} e ON c.node = e.parent)
 SELECT ancestor, count(*) AS descendants FROM c GROUP BY ancestor
@@ -68,10 +64,14 @@ def ready_jobs(t: Tables) -> DataFrame:
     return waiting.join(unfinished, "needs", "left_anti").orderBy("job").limit(100).select("job")
 
 
-@query(None)
+@query(f"""
+WITH RECURSIVE n AS (SELECT parent AS node FROM {EDGES} UNION SELECT child FROM {EDGES}),
+l AS (SELECT node, 0 AS layer FROM n WHERE node NOT IN (SELECT child FROM {EDGES}) UNION ALL SELECT e.child, l.layer + 1 FROM l JOIN {EDGES} e ON e.parent = l.node)
+SELECT node, max(layer)::INTEGER AS layer FROM l GROUP BY node
+""")
 def dag_validate(t: Tables) -> DataFrame:
     """The layer of each node once all it hangs on is placed; nodes of a cycle never are."""
-    return layers(_all_edges(t))
+    return layers(_edges(t))
 
 
 @query("SELECT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels) AND d.doc_id % 2 = 0")

@@ -8,14 +8,17 @@ machine-local folder unless the session itself is local and names none.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+_SHIPPED: set[str] = set()
 
 
 def build_session(name: str = "siltstone", cpus: int | str = 8, partitions: int = 8) -> SparkSession:
@@ -34,11 +37,30 @@ def build_session(name: str = "siltstone", cpus: int | str = 8, partitions: int
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where they see its folder."""
-    env = spark.sparkContext.environment
-    path = env.get("PYTHONPATH", "")
-    if ROOT not in path.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
+    """Let Python workers import this package: executors fetch it as a zip file from the shared folder, which is written once a session.
+
+    In a local session workers see the folder itself. Without a shared
+    folder they need it on their own path.
+    """
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        path = context.environment.get("PYTHONPATH", "")
+        if ROOT not in path.split(os.pathsep):
+            context.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
+        return
+    if context.applicationId in _SHIPPED or not spark.conf.get("spark.checkpoint.dir", None):
+        return
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(Path(ROOT, "siltstone").rglob("*.py")):
+            z.write(p, p.relative_to(ROOT))
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{workspace(spark)}/siltstone-code/{context.applicationId}/siltstone.zip")
+    system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    out = system.create(path)
+    out.write(archive.getvalue())
+    out.close()
+    context.addPyFile(system.makeQualified(path).toString())
+    _SHIPPED.add(context.applicationId)
 
 
 def workspace(spark: SparkSession) -> str:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +15,21 @@ def counted_by_window(events: DataFrame, width: str, late: str = "10 minutes") -
 
 
 def drained(stream: DataFrame) -> DataFrame:
-    """Run a stream over all that its source holds now, and return its final state."""
-    name = f"drained_{uuid.uuid4().hex[:8]}"
-    q = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", table_path(stream.sparkSession, "stream")).trigger(availableNow=True).start()
+    """Run a stream over all that its source holds now, and return its final state.
+
+    The state is written to the workspace after each batch; the last one
+    written is read, so nothing gathers on the driver.
+    """
+    spark, folder = stream.sparkSession, table_path(stream.sparkSession, "drained")
+    done: list[str] = []
+
+    def save(batch: DataFrame, number: int) -> None:
+        path = f"{folder}/{number}"
+        batch.write.mode("overwrite").parquet(path)
+        done.append(path)
+
+    q = stream.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", table_path(spark, "stream")).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(done[-1]) if done else spark.createDataFrame([], stream.schema)

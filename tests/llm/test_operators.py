@@ -318,6 +318,67 @@ def test_toxicity(spark):
     assert {x["predicted"] for x in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0}
 
 
+def toxic_rows(n=400):
+    r = random.Random(18)
+    texts = [" ".join((r.choice(["nasty", "vile", "foul"]) if k % 4 == 0 and r.random() < 0.25 else r.choice(WORDS)) for _ in range(r.randint(20, 90))) for k in range(n)]
+    return [(k, t) for k, t in enumerate(texts)], [(k, int(k % 4 == 0) if k % 29 else 1 - int(k % 4 == 0)) for k in range(n)]
+
+
+def test_held_out_labels_change_no_score(spark):
+    rows, labels = toxic_rows()
+    out = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    run = lambda x: sorted((r["doc_id"], r["held_out"], r["score"]) for r in toxicity.toxicity(docs, spark.createDataFrame(x, "doc_id long, toxic int")).collect())
+    first = run(labels)
+    assert {k for k, h, _ in first if h} == {k for k, _ in rows if out(k)}
+    assert first == run([(k, 1 - y if out(k) else y) for k, y in labels]) == run([x for x in labels if not out(x[0])])
+
+
+def test_toxicity_against_plain_version(spark):
+    rows, labels = toxic_rows()
+    docs, given = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    known = {r["doc_id"]: (r["y"], r["fold"]) for r in toxicity.labelled(docs, given, 10**6).collect()}
+    texts = {k: t.split() for k, t in rows}
+
+    def scores(folds):
+        toxic, clean = Counter(), Counter()
+        for k, (y, f) in known.items():
+            if f in folds:
+                for w in set(texts[k]):
+                    toxic[w] += y
+                    clean[w] += 1 - y
+        t_all, c_all, found, share = sum(toxic.values()), sum(clean.values()), {}, {}
+        for w in toxic.keys() | clean.keys():
+            prior = toxicity.EVEN + toxicity.STRENGTH * (toxic[w] + clean[w]) / (t_all + c_all)
+            t, c = toxic[w] + prior, clean[w] + prior
+            low = np.log(t / (t_all + toxicity.STRENGTH)) - np.log(c / (c_all + toxicity.STRENGTH)) - toxicity.DOUBT * np.sqrt(1 / t + 1 / c)
+            if low > 0:
+                found[w], share[w] = low, c / c_all
+        lo, hi, rest = 1e-6, 50.0, max(0.0, 1 - sum(share.values()))
+        for _ in range(100):
+            mid = (lo + hi) / 2
+            over = sum(share[w] * np.exp(min(700.0, mid * found[w])) for w in found) + rest * np.exp(-mid * toxicity.COST) > 1
+            lo, hi = (lo, mid) if found and over else (mid, hi)
+        return found, min(hi, 5.0)
+
+    def totals(words, own):
+        return [t for _, _, t in toxicity.segments([(k, own[w]) for k, w in enumerate(words) if w in own])]
+
+    own, rate = scores(set(range(toxicity.FOLDS)))
+    apart = {k: totals(texts[k], scores(set(range(toxicity.FOLDS)) - {f})[0]) for k, (_, f) in known.items()}
+    clean = np.mean([rate * max(apart[k], default=0.0) - np.log(len(texts[k])) for k, (y, _) in known.items() if y < 0.5])
+    scale = np.exp(clean - 0.5772156649)
+
+    def evidence(found, n):
+        surprise = [rate * t - np.log(scale * n) for t in found]
+        return sum(s for s in surprise if s >= -np.log(toxicity.SIGNIFICANT))
+
+    slope, base = toxicity.logistic(np.log1p([evidence(apart[k], len(texts[k])) for k in known]), np.array([y for y, _ in known.values()]))
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, given).collect()}
+    expected = {k: 1 / (1 + np.exp(-(base + slope * np.log1p(evidence(totals(w, own), len(w)))))) for k, w in texts.items()}
+    assert max(abs(got[k] - expected[k]) for k in expected) < 1e-6 and len({round(x, 3) for x in got.values()}) > 20
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(k, rng.normal(size=8).round(3).tolist()) for k in range(300)] + [(400 + k, [0.5] * 8) for k in range(120)]

@@ -84,3 +84,26 @@ def test_stages(spark):
     for p in pieces:
         held[p["doc_id"]] = held.get(p["doc_id"], 0) + p["length"]
     assert held == tokens
+
+
+def test_stages_take_any_rows(spark, tmp_path):
+    """Nulls, empty and repeated rows, ids that are shared or missing, clashing names, and no rows at all."""
+    leak = "Tom had 3 apples and 5 pears in his basket when the farmer asked him to share them all with Anna"
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    words = "the river and the old mill near a town that nobody knows by name".split()
+    text = lambda k: " ".join(words[(k * 7 + i * (k % 5 + 1)) % len(words)] + str(k) * (i % 9 == 0) for i in range(40))
+    rows = [(k, text(k), "en") for k in range(40)] + [(50, None, "en"), (51, "", "en"), (52, "12 34", None), (None, text(60), "en"), (None, text(61), None), (53, text(62), None), (53, text(62), None), (53, text(63), "en"), (54, leak.replace("3", "9"), "en"), (None, leak, "en")]
+    names = "lang_pred string, score double, id__ long, row__ long, gone__ string, fingerprint string, component_id long, windows long, w long, part int, uid long, ids binary, q string, start long"
+    odd = spark.createDataFrame([(i, t, lang, "s", 3, "x", 1.0, 2, 3, "y", "z", 4, 5, 6, 7, 8, bytearray(b"i"), "q", 9) for i, t, lang in rows], f"doc_id long, text string, lang string, source string, n_chars long, {names}")
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == odd.columns, name
+    texts = [r["text"] for r in docs.collect()]
+    assert leak not in texts and leak.replace("3", "9") not in texts and None not in texts and "12 34" not in texts
+    assert text(60) in texts and text(61) in texts and texts.count(text(62)) <= 1 and {text(k) for k in range(0, 40, 5)} & set(texts)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert pieces.count() >= docs.count()
+    none = odd.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0

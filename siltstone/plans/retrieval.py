@@ -8,10 +8,12 @@ from pyspark.sql.window import Window
 
 from siltstone.functions import text as T
 from siltstone.operators import relational as R
-from siltstone.operators import judge
+from siltstone.operators import judge, pool
 from siltstone.registry import Tables, query
 from siltstone.session import written
 
+#: Rows of a query side up to which it is sent to every task.
+SENT = 1_000_000
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 # Frequent short words of each language.
 STOPWORDS = {"de": "der die das und ist nicht", "en": "the of and to in is", "es": "el los las que y del", "fr": "le les des et est une"}
@@ -70,6 +72,13 @@ def judge_join(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "lang").join(t.labels, "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("kept"))
 
 
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, length(text) - length(replace(text, chr(10), '')) AS breaks FROM documents")
+def pool_map(t: Tables) -> DataFrame:
+    """A Python function over batches in a pool of workers; the ordinal puts results back in the order of the input."""
+    d = R.prefix(t.documents.select("doc_id", "text"), [], ["doc_id"], R.by_value("doc_id"), F.lit(1), "ordinal")
+    return pool.mapped(d, ["doc_id", "ordinal"], "text", lambda texts: [None if x is None else x.count("\n") for x in texts], "breaks long")
+
+
 @query("""
 SELECT item_id, unit, count(*) AS n FROM (SELECT item_id, unnest(list_filter(string_split_regex(text, '[.\\n]'), lambda x: length(trim(x)) > 20)) AS u, 'sentence' AS unit FROM benchmark UNION ALL SELECT item_id, text, 'whole' FROM benchmark) GROUP BY 1, 2
 """.replace("\\\\", "\\"))
@@ -87,20 +96,26 @@ s AS (SELECT item_id, doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) *
 SELECT item_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5
 """)
 def bm25_search(t: Tables) -> DataFrame:
-    """Postings only of words that a query holds; lengths and counts over all documents."""
+    """Postings only of words that a query holds; lengths and counts over all documents. A document's words lie in one task, which ranks its own documents first."""
     q = t.benchmark.select("item_id", F.explode_outer(F.array_distinct(T.words("text"))).alias("w")).where("w is not null")
-    docs = t.documents.select("doc_id", T.words("text").alias("ws"))
-    size = docs.select("doc_id", F.size("ws").alias("n")).where("n > 0")
-    c = size.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))  # one row
-    tf = docs.select("doc_id", F.explode_outer("ws").alias("w")).join(q.select("w").distinct(), "w", "left_semi").groupBy("doc_id", "w").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("w").agg(F.count("*").alias("df"))
-    s = q.join(tf, "w").join(df, "w").join(size, "doc_id").crossJoin(F.broadcast(c))
+    docs = t.documents.select("doc_id", T.words("text").alias("ws")).where(F.size("ws") > 0).repartition("doc_id")
+    c = docs.agg(F.count("*").alias("docs"), F.avg(F.size("ws")).alias("mean"))  # one row
+    asked = _side(q.select("w").distinct(), "words")
+    tf = docs.select("doc_id", F.size("ws").alias("n"), F.explode_outer("ws").alias("w")).join(asked, "w", "left_semi").groupBy("doc_id", "n", "w").agg(F.count("*").alias("tf"))
+    items = _side(q.join(tf.groupBy("w").agg(F.count("*").alias("df")), "w"), "items")
+    s = tf.join(items, "w").crossJoin(F.broadcast(c))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     term = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("n") / F.col("mean")))
-    s = s.groupBy("item_id", "doc_id").agg(F.round(F.sum(term), 6).alias("score"))
+    s = s.groupBy("doc_id", "item_id").agg(F.round(F.sum(term), 6).alias("score"))
     return R.bottom_k(s, ["item_id"], [F.desc("score"), F.col("doc_id")], 5).select("item_id", "doc_id", "rank")
 
 
+def _side(df: DataFrame, name: str) -> DataFrame:
+    """The side of a join that grows with the queries: written, counted, and sent to every task if small enough."""
+    df = written(df, name)
+    return F.broadcast(df) if df.count() <= SENT else df
+
+
 def _char_grams(name: str, id_: str, where: str = "") -> str:
     return f"(SELECT {id_}, g, count(*) AS tf FROM (SELECT {id_}, unnest(list_transform(range(1, length(x) - 2), lambda i: substr(x, i, 4))) AS g FROM (SELECT {id_}, lower(text) AS x FROM {name} {where})) WHERE length(g) = 4 GROUP BY 1, 2)"
 
@@ -123,8 +138,10 @@ def char_tfidf_rank(t: Tables) -> DataFrame:
     n = d.agg(F.countDistinct("doc_id").alias("n"))  # one row
     df = d.groupBy("g").agg(F.count("*").alias("df"))
     w = d.join(df, "g").crossJoin(F.broadcast(n)).select("doc_id", "g", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    # a document's grams lie in one task, so norms and products need no further shuffle
+    w = written(w, "weights").repartition("doc_id")
     norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    s = q.join(w, "g").groupBy("item_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("dot")).join(norm, "doc_id").select("item_id", "doc_id", F.round(F.col("dot") / F.col("norm"), 5).alias("score"))
+    s = w.join(_side(q, "items"), "g").groupBy("doc_id", "item_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("dot")).join(norm, "doc_id").select("item_id", "doc_id", F.round(F.col("dot") / F.col("norm"), 5).alias("score"))
     return R.bottom_k(s, ["item_id"], [F.desc("score"), F.col("doc_id")], 3).select("item_id", "doc_id", "rank")
 
 
@@ -133,9 +150,9 @@ WITH o AS (SELECT doc_id, list_distinct({WORDS}) AS w FROM documents), q AS (SEL
 SELECT item_id, doc_id, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS rank FROM s WHERE n > 0) WHERE rank <= 5
 """)
 def lexical_topk(t: Tables) -> DataFrame:
-    q = t.benchmark.select("item_id", F.explode_outer(F.array_distinct(T.words("text"))).alias("w")).where("w is not null")
-    o = t.documents.select("doc_id", F.explode_outer(F.array_distinct(T.words("text"))).alias("w")).where("w is not null")
-    s = q.join(o, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
+    q = _side(t.benchmark.select("item_id", F.explode_outer(F.array_distinct(T.words("text"))).alias("w")).where("w is not null"), "words")
+    o = t.documents.select("doc_id", F.array_distinct(T.words("text")).alias("ws")).repartition("doc_id")
+    s = o.select("doc_id", F.explode_outer("ws").alias("w")).join(q, "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
     return R.bottom_k(s, ["item_id"], [F.desc("n"), F.col("doc_id")], 5).select("item_id", "doc_id", "n", "rank")
 
 

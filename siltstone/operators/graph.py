@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.session import written
+from siltstone.session import discard, written
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -19,6 +19,7 @@ def closure(edges: DataFrame) -> DataFrame:
         onward = paths.select(F.col("ancestor").alias("node"), F.col("node").alias("far"))
         longer = written(paths.join(onward, "node").select("ancestor", F.col("far").alias("node")).union(paths).distinct(), "paths")
         m = longer.count()
+        discard(paths)
         if m == n:
             return longer
         paths, n = longer, m
@@ -35,8 +36,10 @@ def layers(edges: DataFrame) -> DataFrame:
         if free.isEmpty():
             break
         placed = free if placed is None else placed.unionByName(free)
-        left = written(left.join(free, "node", "left_anti").select("node"), "nodes")
-        rest = written(rest.join(free.select(F.col("node").alias("parent")), "parent", "left_anti"), "edges")
+        fewer = written(left.join(free, "node", "left_anti").select("node"), "nodes")
+        fewer_edges = written(rest.join(free.select(F.col("node").alias("parent")), "parent", "left_anti"), "edges")
+        discard(left, rest)
+        left, rest = fewer, fewer_edges
         layer += 1
     stuck = left.withColumn("layer", F.lit(None).cast("int"))
     return stuck if placed is None else placed.unionByName(stuck)

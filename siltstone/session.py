@@ -88,11 +88,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = table_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._siltstone_path = path
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables of frames from ``written`` that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_siltstone_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_workspace(spark: SparkSession) -> None:
     """Delete every intermediate table, once no frame that reads one is in use."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{workspace(spark)}/siltstone")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{workspace(spark)}/siltstone")

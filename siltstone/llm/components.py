@@ -5,7 +5,8 @@ Each round every label moves to the smallest label next to it, chains of
 moves are shortened by joining the moves with themselves, and links are
 rewritten to labels and deduplicated; links inside one label vanish. As
 labels are random, chains are short and the links shrink geometrically.
-Every round is written to the shared workspace, which cuts the lineage.
+Every round is written to the shared workspace, which cuts the lineage,
+and the tables of the round before are deleted.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.session import written
+from siltstone.session import discard, written
 
 
 def components(links: DataFrame, jumps: int = 2) -> DataFrame:
@@ -30,11 +31,12 @@ def components(links: DataFrame, jumps: int = 2) -> DataFrame:
     while not links.isEmpty():
         # b is the larger end, so only b can move; the smallest neighbour of each b is its move
         move = links.groupBy(F.col("b").alias("at")).agg(F.min("a").alias("to"))
-        move = written(move, "moves")
+        step = move = written(move, "moves")
         for _ in range(jumps):
             onward = move.select(F.col("at").alias("to"), F.col("to").alias("further"))
             move = move.join(onward, "to", "left").select("at", F.coalesce("further", "to").alias("to"))
         move = written(move, "moves")
+        last_labels, last_links = labels, links
         labels = written(
             labels.join(move, labels.root == move["at"], "left").select("node", F.coalesce("to", "root").alias("root")),
             "labels",
@@ -50,4 +52,5 @@ def components(links: DataFrame, jumps: int = 2) -> DataFrame:
             .distinct(),
             "links",
         )
+        discard(step, move, last_labels, last_links)
     return labels

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import fresh
+from siltstone.session import written
 
 #: Characters of a run and of an assigned value at least, and of text looked at before and after it; runs whose lengths are added up at a time.
 LEAST, LEAST_VALUE, BEFORE, AFTER, BLOCK = 16, 6, 48, 16, 128
@@ -142,7 +143,7 @@ def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
         (F.upper(words("t", "")), pick("pa", *plain), F.lit("!! "), 0),
         (F.concat(words("u", "."), F.lit("1.example.com")), pick("pb", "info@", "host ", "www.", *plain), F.lit(" "), 0),
     ]
-    ids = spark.range(each)
+    ids = spark.range(0, each, 1, 1)
     short = ("password = \"", "passwd: '", "pwd=", "secret: \"", "token = '", "api_key=\"", "DB_PASSWORD=")
     mark = lambda salt: pick(salt, "!", "@", "#", "$", "%", "&", "*", "-", "?", "+")
     number_of = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("string")
@@ -176,6 +177,7 @@ def fit(findings: DataFrame, trees: int = 24, depth: int = 8) -> RandomForestCla
     made = features()
     rows = findings.where("candidate is not null and before is not null and after is not null and label is not null").select(F.col("label").cast("double").alias("label"), *(v.alias(k) for k, v in made.items()))
     rows = VectorAssembler(inputCols=list(made), outputCol="features").transform(rows).select("label", "features").repartition(4)
+    rows = written(rows, "findings")  # the forest reads them several times
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11, featureSubsetStrategy="sqrt").fit(rows)
 
 

@@ -58,7 +58,9 @@ def test_simhash(spark, docs):
     assert simhash.simhash_groups(empty(spark)).count() == 0
 
 
-def test_simhash_crowded_key(spark):
+@pytest.mark.parametrize("few", [simhash.FEW, 0])
+def test_simhash_crowded_key(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
     r = random.Random(3)
     fps = {r.getrandbits(20) for _ in range(400)}
     links = simhash.near_links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()
@@ -128,6 +130,43 @@ def test_line_dedup(spark, docs):
     assert linededup.line_dedup(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("sampled,few", [(linededup.SAMPLED, linededup.FEW), (1, 2)])
+def test_line_classes_against_brute_force(spark, monkeypatch, sampled, few):
+    """Chains of edited lines, many of which share a segment; with small bounds every way of the join is taken."""
+    monkeypatch.setattr(linededup, "SAMPLED", sampled)
+    monkeypatch.setattr(linededup, "FEW", few)
+    r = random.Random(21)
+    lines = []
+    for k in range(12):
+        x = "".join(r.choice("abcdefgh ") for _ in range(r.randint(40, 60)))
+        for _ in range(15):
+            lines.append(x)
+            y = list(x)
+            for _ in range(r.randint(0, 3)):
+                y[r.randrange(20, len(y))] = r.choice("xyz")  # the first segment stays the same
+            x = "".join(y) if r.random() < 0.8 else x[:-1]
+    lines += ["q" * 40 + f" {k:04d} " + "".join(r.choice("abcdefgh") for _ in range(20)) for k in range(150)]
+    lines = [x for x in dict.fromkeys(lines) if x.strip() and len(x) >= 40]
+    root = {x: x for x in lines}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(lines):
+        for y in lines[:i]:
+            if abs(len(x) - len(y)) <= 2 and linededup._plain(x, y) <= 2:
+                root[find(x)] = find(y)
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    got, expected = {}, {}
+    for row in linededup.line_dedup(docs).collect():
+        got.setdefault(row["class_id"], set()).add(row["doc_id"])
+    for i, x in enumerate(lines):
+        expected.setdefault(find(x), set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values())) and len(expected) < len(lines)
+
+
 def test_line_dedup_of_short_and_unspaced_lines(spark):
     notice, han = "All rights reserved.", "漢字" * 30
     near = han[:20] + "々" + han[21:]
@@ -203,8 +242,10 @@ def test_decontamination_of_repeated_and_null_ids(spark):
     assert {r["row"] for r in decontam.keep_clean(docs, benchmark).collect()} == {1, 3, 4, 5, 6, 7}
 
 
-def test_decontamination_against_brute_force(spark):
-    """Short items of plain words and numbers, whose windows and clashes can be counted by hand."""
+@pytest.mark.parametrize("sent", [decontam.SENT, 0])
+def test_decontamination_against_brute_force(spark, monkeypatch, sent):
+    """Short items of plain words and numbers, whose windows and clashes can be counted by hand; also by the shuffled join."""
+    monkeypatch.setattr(decontam, "SENT", sent)
     r = random.Random(12)
     words = ["ox", "elk", "cow", "hen"]
 

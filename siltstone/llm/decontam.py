@@ -19,6 +19,8 @@ from siltstone.session import written
 
 #: Template words of a window, those of them that must not be placeholders, and windows of an instance (or all that the item has).
 WINDOW, LITERAL, LEAST = 8, 4, 6
+#: Items that may share a window before it is looked up only where another window of the item was found.
+SHARED = 64
 #: Windows of the benchmark up to which its side of the join is sent to every task (16 bytes each and the slots).
 SENT = 2_000_000
 # Words that count as units after a number.
@@ -75,14 +77,16 @@ def slots(words: Column, at: Column, window: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``benchmark(item_id, text)`` to ``(w, length, item_id, item_at, item_slots, need, need_all)``: its windows.
+    """``benchmark(item_id, text)`` to ``(w, length, item_id, item_at, item_slots, need, need_all, late)``: its windows.
 
     A window of enough plain words is hashed as a template, with length
     null. Others are hashed as they stand, with their length and no
     slots: those of mostly placeholders, and all words of an item that is
     shorter than a window. ``need`` is how many template windows an
     instance must match, 0 if the item has none, or else ``need_all``
-    windows of both kinds.
+    windows of both kinds. A window that many items share is ``late``
+    where the item can't match by such windows alone: it is asked for
+    once another window of the item was found.
     """
     items = written(benchmark.where("text is not null").select("item_id", tokens(F.col("text")).alias("words")), "items")
     items = items.select("item_id", "words", template(F.col("words")).alias("plain"), literal(F.col("words")).alias("bare"))
@@ -97,7 +101,13 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     found = written(plain.unionByName(heavy).unionByName(short).distinct(), "items")
     at = F.when(F.col("length").isNull(), F.col("item_at"))
     need = found.groupBy("item_id").agg(F.least(F.lit(LEAST), F.countDistinct(at)).alias("need"), F.least(F.lit(LEAST), F.countDistinct("item_at")).alias("need_all"))
-    return written(found.join(need, "item_id"), "items")
+    shared = found.groupBy("w").agg(F.countDistinct("item_id").alias("items")).where(F.col("items") > SHARED).select("w", F.lit(True).alias("shared"))
+    found = found.join(need, "item_id").join(shared, "w", "left")
+    by_shared = found.where("shared").groupBy("item_id").agg(F.countDistinct("item_at").alias("by_shared"))
+    found = found.join(by_shared, "item_id", "left")
+    least = F.least(F.col("need_all"), F.when(F.col("need") > 0, F.col("need")).otherwise(F.col("need_all")))
+    late = F.coalesce(F.col("shared") & (F.col("by_shared") < least), F.lit(False))
+    return written(found.withColumn("late", late).drop("shared", "by_shared"), "items")
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
@@ -109,24 +119,36 @@ def same_row(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["row"] == right["row"])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(doc_id, row, item_id, windows, slots)``: as ``matches``, for each text."""
-    items = item_windows(benchmark.select("item_id", "text"), window)
-    few = items.count() <= SENT
-    side = lambda df: F.broadcast(df) if few else df  # noqa: E731  beyond, a shuffled join
+def spots_of(docs: DataFrame, window: int, lengths: list[int]) -> DataFrame:
+    """``(doc_id, row, at, w)``: every template window of every text, and every run of words as they stand of these lengths."""
     words = rows_of(docs).select("doc_id", "row", template(tokens(F.col("text"))).alias("plain"))
     hashed = words.select("doc_id", "row", F.transform(places(F.col("plain"), window), lambda i: F.xxhash64(F.slice("plain", i + 1, window))).alias("hashes"))
     # the outer form: for the inner one a filter on the array is inferred, and hashing would run twice
     spots = hashed.select("doc_id", "row", F.posexplode_outer("hashes").alias("at", "w")).where("w is not null")
-    columns = ["doc_id", "row", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "at", "item_at", "item_slots", "length", "need", "need_all"]
-    hits = spots.join(side(items.where("length is null")), "w").select(*columns)
+    if not lengths:
+        return spots
+    bare = rows_of(docs).select("doc_id", "row", literal(tokens(F.col("text"))).alias("bare"))
+    more = bare.select("doc_id", "row", F.concat(*(runs(F.col("bare"), n) for n in lengths)).alias("runs"))
+    return spots.unionByName(more.select("doc_id", "row", F.explode_outer("runs").alias("r")).where("r is not null").select("doc_id", "row", "r.at", "r.w"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``(doc_id, row, item_id, windows, slots)``: as ``matches``, for each text."""
+    items = item_windows(benchmark.select("item_id", "text"), window)
+    side = lambda df: F.broadcast(df) if df.count() <= SENT else df  # noqa: E731  beyond, a shuffled join
     lengths = sorted(r["length"] for r in items.where("length is not null").select("length").distinct().collect())  # a window's at most
-    if lengths:
-        bare = rows_of(docs).select("doc_id", "row", literal(tokens(F.col("text"))).alias("bare"))
-        spots = bare.select("doc_id", "row", F.concat(*(runs(F.col("bare"), n) for n in lengths)).alias("runs"))
-        spots = spots.select("doc_id", "row", F.explode_outer("runs").alias("r")).where("r is not null").select("doc_id", "row", "r.at", "r.w")
-        hits = hits.unionByName(spots.join(side(items.where("length is not null")), "w").select(*columns))
-    hits = written(hits, "hits")
+    columns = ["doc_id", "row", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "at", "item_at", "item_slots", "length", "need", "need_all"]
+    hits = written(spots_of(docs, window, lengths).join(side(items.where("not late")), "w").select(*columns), "hits")
+    late = items.where("late")
+    if not late.isEmpty():
+        pairs = written(hits.select("doc_id", "row", "item_id").distinct(), "pairs")
+        texts = pairs.select("doc_id", "row").distinct()
+        asked = docs.join(texts, docs["doc_id"].eqNullSafe(texts["doc_id"]) & (F.xxhash64(docs["text"]) == texts["row"]), "left_semi")
+        wanted = pairs.join(late, "item_id")
+        spots = spots_of(asked, window, lengths)
+        on = same_row(spots, wanted) & (spots["w"] == wanted["w"])
+        more = spots.join(wanted, on).select(spots["doc_id"], spots["row"], "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "at", "item_at", "item_slots", "length", "need", "need_all")
+        hits = written(hits.unionByName(more), "hits")
     bad = clashes(docs, hits.where(F.size("item_slots") > 0), window)
     at = ["item_id", "diagonal", "item_at"]
     good = hits.join(bad, same_row(hits, bad) & _all_equal(hits, bad, at), "left_anti")

@@ -242,10 +242,11 @@ def test_decontamination_of_repeated_and_null_ids(spark):
     assert {r["row"] for r in decontam.keep_clean(docs, benchmark).collect()} == {1, 3, 4, 5, 6, 7}
 
 
-@pytest.mark.parametrize("sent", [decontam.SENT, 0])
-def test_decontamination_against_brute_force(spark, monkeypatch, sent):
-    """Short items of plain words and numbers, whose windows and clashes can be counted by hand; also by the shuffled join."""
+@pytest.mark.parametrize("sent,shared", [(decontam.SENT, decontam.SHARED), (0, 1), (decontam.SENT, 1)])
+def test_decontamination_against_brute_force(spark, monkeypatch, sent, shared):
+    """Short items of plain words and numbers, whose windows and clashes can be counted by hand; also by the shuffled join, and with shared windows looked up late."""
     monkeypatch.setattr(decontam, "SENT", sent)
+    monkeypatch.setattr(decontam, "SHARED", shared)
     r = random.Random(12)
     words = ["ox", "elk", "cow", "hen"]
 
@@ -253,6 +254,7 @@ def test_decontamination_against_brute_force(spark, monkeypatch, sent):
         return " ".join(str(r.randint(1, 3)) if r.random() < 0.3 else r.choice(words) for _ in range(n))
 
     items = [(k, text(r.randint(8, 14))) for k in range(25)]
+    items += [(30 + k, "the same words open each of these many items " + text(8)) for k in range(6)]
     docs = []
     for k in range(60):
         x = r.choice(items)[1].split()

@@ -155,3 +155,17 @@ def test_last_batch_is_kept():
     import numpy as np
 
     assert mixture.largest_batch(np.array([5, 5, 5]), 4, 8) is None
+
+
+def test_context_overlap_finds_shared_histories(spark, tmp_path):
+    import duckdb
+
+    r = random.Random(8)
+    histories = [[("user" if i % 2 == 0 else "assistant", r.choice("abc")) for i in range(6)] for _ in range(12)]
+    rows = [(k, i, role, text) for k in range(60) for i, (role, text) in enumerate(r.choice(histories)[: r.randint(1, 6)])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    q = registry.load()["context_overlap"]
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = sorted(tuple(x) for x in q.run(spark, str(tmp_path)).collect())
+    assert got == sorted(duck.execute(q.sql).fetchall()) and {x[2:] for x in got} >= {(True, True), (False, True)}

@@ -337,9 +337,9 @@ def judged(docs: DataFrame, edits: int, least_words: int, least_chars: int) -> D
     """All lines ``(doc_id, row, line_no, class_id, first_doc_id, first_line_no, keep)``."""
     lines, labels = line_classes(docs, edits, least_words, least_chars)
     named = lines.where(F.col("kind") != BLANK).join(labels, "h", "left").select("doc_id", "row", "line_no", F.coalesce("class_id", "h").alias("class_id"))
-    repeated = named.groupBy("class_id").count().where("count > 1").select("class_id")
     place = F.struct("doc_id", "row", "line_no")
-    first = named.join(repeated, "class_id", "left_semi").groupBy("class_id").agg(F.min(place).alias("first"))
+    # lines of a common class shrink to one in every task before they meet
+    first = named.groupBy("class_id").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("class_id", "first")
     told = named.join(first, "class_id", "left").withColumn("first", F.coalesce("first", place))
     blank = lines.where(F.col("kind") == BLANK).select("doc_id", "row", "line_no", F.col("h").alias("class_id"), place.alias("first"))
     told = told.unionByName(blank).withColumn("keep", F.col("first") == place)
